@@ -180,5 +180,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) ->
     return found.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x[1] - x[0])").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"))
 
 
+def _keep(batches, shared, min_items):
+    for batch in batches:
+        parts = []
+        for part in bytescan.texts(batch.column("text")):
+            found = bytescan.words(part, bytescan.PLAIN, bytescan.LOWER_VALUES)
+            names = [set() for _ in range(len(part))]
+            for b, _, owners in _hits(part, found, shared.value):
+                names[int(np.searchsorted(found.first, b, side="right")) - 1].update(owners)
+            parts.append(np.fromiter((len(x) < min_items for x in names), bool, len(names)))
+        if parts:
+            yield batch.filter(pa.array(np.concatenate(parts)))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, all columns unchanged. Each block of items is a pass over what the others left."""
+    for rows in item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows))
+        docs = docs.mapInArrow(lambda b, shared=shared: _keep(b, shared, 1), docs.schema)
+    return docs
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
