@@ -3,7 +3,7 @@
 A row of the exchange is a block: the fingerprints of one batch of documents that fall into one bucket, seven bytes each, with the number that each
 document has. Equal fingerprints share a bucket, so a task counts its buckets by itself; nothing is gathered by document, source or text, and a
 fingerprint that a third of all documents share costs seven bytes for each of its places in one of many buckets. A bucket holds about bucket_bytes
-of text however large the corpus is, since the number of buckets follows the corpus.
+of text however large the corpus is, since the number of buckets follows the corpus. The answers travel back likewise, packed by groups of documents.
 
 A document is named by key_column(), a 64-bit hash of its id and text. Rows with equal id and text share a key and have equal fingerprints, hence
 equal answers. Two unequal fingerprinted spans are taken for equal with probability 2**-(56 + log2(buckets)) a pair.
@@ -11,13 +11,17 @@ equal answers. Two unequal fingerprinted spans are taken for equal with probabil
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm import bytescan
+
 BLOCK_SCHEMA = "bucket int, doc_keys binary, doc_counts binary, hashes binary"
-FLAG_SCHEMA = "key long, bucket int, places binary"
+FLAG_SCHEMA = "part int, bucket int, doc_keys binary, doc_counts binary, places binary"
 KEY = "strandline_key"
 
 
@@ -55,7 +59,7 @@ def blocks(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, buckets: in
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["bucket", "doc_keys", "doc_counts", "hashes"])
 
 
-def _repeated(batches):
+def _repeated(batches, groups: int):
     """Of a partition's blocks: the places (by number among a document's fingerprints in the bucket) of fingerprints that occur more than once."""
     held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
     for batch in batches:
@@ -86,16 +90,61 @@ def _repeated(batches):
         new = np.ones(len(at), bool)
         new[1:] = run[1:] != run[:-1]
         first = np.flatnonzero(new)
-        offsets = np.append(first, len(at)) * 4
-        places = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer((at - begins[run]).astype("<u4").tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(keys[run[first]]), pa.array(np.full(len(first), b, np.int32)), places], ["key", "bucket", "places"])
+        sizes = np.diff(np.append(first, len(at)))
+        owners, places = keys[run[first]], (at - begins[run]).astype("<u4")
+        group = (bytescan.mix(owners.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        owners, sizes, first, group = owners[order], sizes[order], first[order], group[order]
+        places = places[bytescan.ragged(first, sizes)]
+        present = np.unique(group)
+        edges = np.append(np.searchsorted(group, present), len(group))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        rows = [(owners[i:j].tobytes(), sizes[i:j].astype("<u4").tobytes(), places[ends[i] : ends[j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array(np.full(len(rows), b, np.int32)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["part", "bucket", "doc_keys", "doc_counts", "places"])
+
+
+def _merged(batches):
+    """Of a partition's flags: all that belongs to a document in one value: the number of its buckets, the buckets, how many places each has, the places."""
+    rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)]
+    if not rows:
+        return
+    keys = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
+    sizes = np.frombuffer(b"".join(r[2] for r in rows), "<u4").astype(np.int64)
+    places = np.frombuffer(b"".join(r[3] for r in rows), "<u4")
+    bucket = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 8 for r in rows])
+    order = np.lexsort((bucket, keys))
+    starts = (np.cumsum(sizes) - sizes)[order]
+    keys, sizes, bucket = keys[order], sizes[order], bucket[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    records = np.diff(np.append(first, len(keys)))
+    totals = np.add.reduceat(sizes, first)
+    length = 1 + 2 * records + totals
+    begin = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), "<u4")
+    out[begin] = records
+    out[bytescan.ragged(begin + 1, records)] = bucket
+    out[bytescan.ragged(begin + 1 + records, records)] = sizes
+    out[bytescan.ragged(begin + 1 + 2 * records, totals)] = places[bytescan.ragged(starts, sizes)]
+    step = max(1, len(first) // max(1, len(out) * 4 >> 26))
+    for k in range(0, len(first), step):
+        low, high = begin[k], begin[k + step] if k + step < len(begin) else len(out)
+        offsets = (np.append(begin[k : k + step], high) - low) * 4
+        values = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out[low:high].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first[k : k + step]]), values], ["key", "flags"])
+
+
+def _dealt(df: DataFrame, column: str, n: int) -> DataFrame:
+    """One value of column (0 to n - 1) to a partition."""
+    slot = F.element_at(F.array(*[F.lit(v) for v in _slots(n)]), F.col(column) + 1) if n <= 4096 else F.col(column)
+    return df.withColumn("slot", slot).repartition(n, "slot").drop("slot")
 
 
 def repeated(block_rows: DataFrame, buckets: int) -> DataFrame:
-    """(key, flags: array of (bucket, places)) of every document that has a repeated fingerprint."""
-    spread = block_rows.withColumn("slot", F.element_at(F.array(*[F.lit(v) for v in _slots(buckets)]), F.col("bucket") + 1)) if buckets <= 4096 else block_rows.withColumn("slot", F.col("bucket"))
-    flags = spread.repartition(buckets, "slot").drop("slot").mapInArrow(_repeated, FLAG_SCHEMA)
-    return flags.groupBy("key").agg(F.collect_set(F.struct("bucket", "places")).alias("flags"))
+    """(key, flags) of every document that has a repeated fingerprint; flagged() reads flags."""
+    flags = _dealt(block_rows, "bucket", buckets).mapInArrow(partial(_repeated, groups=buckets), FLAG_SCHEMA)
+    return _dealt(flags, "part", buckets).mapInArrow(_merged, "key long, flags binary")
 
 
 def _slots(n: int) -> list[int]:
@@ -123,15 +172,17 @@ def _murmur3_int(value: int, seed: int = 42) -> int:
 
 
 def flagged(hashes: np.ndarray, counts: np.ndarray, flags: list, buckets: int) -> np.ndarray:
-    """Which of a batch's hashes occur twice, from the flags (or None) of each document."""
+    """Which of a batch's hashes occur twice, from the flags of each document: None or a list of values of repeated()."""
     out = np.zeros(len(hashes), bool)
     begins = np.cumsum(counts) - counts
-    for k, rows in enumerate(flags):
-        if rows:
-            own = slice(begins[k], begins[k] + counts[k])
-            bucket = bucket_of(hashes[own], buckets)
+    for k, values in enumerate(flags):
+        if values:
+            bucket = bucket_of(hashes[begins[k] : begins[k] + counts[k]], buckets)
             order = np.argsort(bucket, kind="stable")
-            first = np.searchsorted(bucket[order], [r["bucket"] for r in rows])
-            for r, f in zip(rows, first, strict=True):
-                out[begins[k] + order[f + np.frombuffer(r["places"], "<u4").astype(np.int64)]] = True
+            ranked = bucket[order]
+            for value in values:
+                raw = np.frombuffer(value, "<u4").astype(np.int64)
+                n = int(raw[0])
+                first = np.searchsorted(ranked, raw[1 : 1 + n])
+                out[begins[k] + order[np.repeat(first, raw[1 + n : 1 + 2 * n]) + raw[1 + 2 * n :]]] = True
     return out

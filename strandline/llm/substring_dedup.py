@@ -52,7 +52,7 @@ def _marked(column, flags, size: int, buckets: int):
 
 def _digest(batches, size: int, buckets: int):
     for batch in batches:
-        flags = batch.column("strandline_flags").to_pylist()
+        flags = [x and [x] for x in batch.column("strandline_flags").to_pylist()]
         n_words, n_removed, digests = [], [], []
         for part, found, gone in _marked(batch.column("text"), flags, size, buckets):
             first = found.first
@@ -71,7 +71,7 @@ def _digest(batches, size: int, buckets: int):
 
 def _rewrite(batches, size: int, buckets: int):
     for batch in batches:
-        flags = batch.column("strandline_flags").to_pylist()
+        flags = [x and [x] for x in batch.column("strandline_flags").to_pylist()]
         out = []
         for part, found, gone in _marked(batch.column("text"), flags, size, buckets):
             for k in range(len(part)):
