@@ -19,7 +19,7 @@ count as occurrences of each other. Other columns don't matter. An empty table g
 from __future__ import annotations
 
 import hashlib
-from functools import cache, partial
+from functools import cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import bytescan, exchange
-from strandline.llm.storage import materialize
+from strandline.llm.storage import discard, materialize
 
 SPAN, PERIOD = 400, 256
+#: Suffixes are sorted in so many rounds, each with a share of the buckets, so that one round's suffixes are on disk at a time.
+ROUNDS = 2
 
 
 @cache
@@ -100,14 +102,25 @@ def _rank_blocks(batches, span, period, buckets):
                 yield exchange.blocks(keys[part.rows], counts, s.ranks(at), buckets)
 
 
-def _tie_blocks(batches, span, period, buckets):
+def _flags(column: pa.Array) -> list:
+    """For each row a list of flags, from a column of them or of lists of them."""
+    return [x if x is None or isinstance(x, list) else [x] for x in column.to_pylist()]
+
+
+def _tie_blocks(batches, span, period, buckets, round_, rounds):
     for batch in batches:
-        keys, flags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+        keys, flags = batch.column(0).to_numpy(zero_copy_only=False), _flags(batch.column(2))
         for part in bytescan.texts(batch.column(1)):
             s = _Slice(part, span, period)
             at, counts = s.ties(flags[part.rows], buckets)
-            if len(at):
-                yield exchange.blocks(keys[part.rows], counts, s.strings(at), buckets)
+            if not len(at):
+                continue
+            strings = s.strings(at)
+            own = exchange.bucket_of(strings, buckets) % rounds == round_
+            before = np.concatenate(([0], np.cumsum(own)))
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            if own.any():
+                yield exchange.blocks(keys[part.rows], before[edges[1:]] - before[edges[:-1]], strings[own], buckets)
 
 
 def _gone(column, shared, repeated, span, period, buckets):
@@ -124,7 +137,7 @@ def _gone(column, shared, repeated, span, period, buckets):
 def _digest(batches, **how):
     for batch in batches:
         rows = []
-        for part, gone in _gone(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), **how):
+        for part, gone in _gone(batch.column(1), _flags(batch.column(2)), _flags(batch.column(3)), **how):
             for a, b in zip(part.starts.tolist(), part.ends.tolist(), strict=True):
                 own, lost = part.data[a:b], gone[a:b]
                 removed = int(lost.sum())
@@ -134,7 +147,7 @@ def _digest(batches, **how):
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removals(docs: DataFrame, span: int = SPAN, period: int = PERIOD) -> DataFrame:
+def removals(docs: DataFrame, span: int = SPAN, period: int = PERIOD, rounds: int = ROUNDS) -> DataFrame:
     """Of documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256. period must not exceed span."""
     docs = docs.select("doc_id", "text")
     total = exchange.text_bytes(docs)
@@ -142,9 +155,14 @@ def removals(docs: DataFrame, span: int = SPAN, period: int = PERIOD) -> DataFra
     keyed = docs.select(exchange.key_column("text", "doc_id").alias("key"), "doc_id", "text")
     ranked = exchange.repeated(keyed.select("key", "text").mapInArrow(partial(_rank_blocks, span=span, period=period, buckets=how["buckets"]), exchange.BLOCK_SCHEMA), how["buckets"])
     shared = materialize(ranked.select("key", F.col("flags").alias("shared")), "shared-ranks")
-    ties = keyed.select("key", "text").join(shared.hint("shuffle_hash"), "key").select("key", "text", "shared").mapInArrow(partial(_tie_blocks, **how), exchange.BLOCK_SCHEMA)
-    twice = materialize(exchange.repeated(ties, how["buckets"]).select("key", F.col("flags").alias("repeated")), "repeated-strings")
-    flags = shared.join(twice, "key")
+    tied = materialize(keyed.select("key", "text").join(shared.hint("shuffle_hash"), "key").select("key", "text", "shared"), "tied-texts")
+    twice = []
+    for k in range(rounds):
+        ties = tied.mapInArrow(partial(_tie_blocks, **how, round_=k, rounds=rounds), exchange.BLOCK_SCHEMA)
+        twice.append(materialize(exchange.repeated(ties, how["buckets"]), "repeated-strings"))
+    discard(tied)
+    strings = reduce(DataFrame.union, twice).groupBy("key").agg(F.collect_set("flags").alias("repeated"))
+    flags = shared.join(strings, "key")
     joined = keyed.join(flags.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "shared", "repeated")
     return joined.mapInArrow(partial(_digest, **how), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
