@@ -14,11 +14,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset (a local session), a folder of the machine is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{os.path.join(tempfile.gettempdir(), 'strandline-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", place)
+    """spark.checkpoint.dir of the session. Only where it is unset, as in a local session, a folder of this machine serves instead."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'strandline-checkpoints')}"
     return place.rstrip("/")
 
 
