@@ -162,7 +162,9 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
     """Learn from (doc_id, text, lang) outside the held-out fifth."""
     fit_on = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= train_chars))
-    rows = fit_on.select(F.xxhash64("doc_id").alias("h"), "text", "lang").orderBy("h", "text", "lang").limit(train_docs).collect()
+    hashed = fit_on.select(F.xxhash64("doc_id").alias("h"), "text", "lang")
+    last = hashed.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]  # hashes alone go to the driver, then the chosen texts
+    rows = sorted(hashed.where(F.col("h") <= last).collect(), key=tuple)[:train_docs] if last is not None else []
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
