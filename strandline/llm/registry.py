@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import bpe, decontaminate, language_id, license_scan, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
+from strandline.llm import bpe, decontaminate, language_id, license_scan, oracles, quality, simhash, substring_dedup, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontaminate": decontaminate.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_decontaminate": oracles.DECONTAMINATE}
