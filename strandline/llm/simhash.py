@@ -217,8 +217,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays (of rows that share it, the one whose text has the
-    smallest hash). A component whose rows all have a null doc_id keeps one of them likewise."""
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays. doc_id names a document: of rows that share one, one
+    stays. Of the rows with a null doc_id one stays, if a component has no other."""
     found = near_duplicates(docs.select("doc_id", "text"), shingle_words)
     stay = found.select("component_id").distinct().withColumnRenamed("component_id", "stay_id")
     kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
