@@ -108,7 +108,8 @@ def shared(a: DataFrame, b: DataFrame, code: str, left: str, right: str, least:
 
 def query_coverage(a: DataFrame, b: DataFrame, left: str, right: str, k: int) -> DataFrame:
     """(left, right, n, covered): shared distinct k-mers and bases of the query that they cover."""
-    hits = a.select(left, "kmer", "pos").join(b.select(right, "kmer").distinct(), "kmer")
+    known = b.select(right, "kmer").join(a.select("kmer").distinct(), "kmer", "left_semi").distinct()  # few of b's k-mers are left to be made distinct
+    hits = a.select(left, "kmer", "pos").join(known, "kmer")
     w = Window.partitionBy(left, right).orderBy("pos")
     step = F.least(F.lit(k), F.col("pos") - F.lag("pos").over(w))
     return hits.withColumn("step", F.coalesce(step, F.lit(k))).groupBy(left, right).agg(F.count_distinct("kmer").alias("n"), F.sum("step").cast("long").alias("covered"))
