@@ -28,6 +28,14 @@ def score_of_bits(bit: Column) -> Column:
     return ((bit * math.log(2) + math.log(K)) / LAMBDA).cast("int")
 
 
+def seed_weight(length: Column) -> Column:
+    return length * length * 0.1
+
+
+def gap_penalty(gap: Column) -> Column:
+    return F.when(gap == 0, F.lit(0.0)).otherwise(gap * 0.1 + F.log2(gap) * 0.5)
+
+
 def share(part: Column, whole: Column) -> Column:
     """Per cent, 100 at most."""
     return F.least(F.lit(100.0), part / whole * 100)

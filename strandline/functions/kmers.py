@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,6 +81,41 @@ def dust(seq: Column) -> Column:
     return F.when(F.length(seq) < 3, F.lit(0)).otherwise(F.aggregate(grams, start, step, lambda acc: acc["total"]))
 
 
+def reverse(code: Column, k: int) -> Column:
+    """The code of the same bases in reverse order (not the complement)."""
+    return F.conv(F.reverse(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0")), 4, 10).cast("long")
+
+
+def reverse_codes(code: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(len(code), np.int64)
+    for j in range(k):
+        out = out << 2 | (code >> 2 * j) & 3
+    return out
+
+
+def suffix_matches(a: Column, b: Column, k: int) -> Column:
+    """Bases that agree after the common prefix of two codes."""
+    return (F.lit(k) - common_prefix(a, b, k) - mismatches(a, b)).cast("int")
+
+
+def dust_of(seq: str) -> int:
+    """dust() of one text."""
+    return sum(c * (c - 1) // 2 for c in Counter(seq[i : i + 3] for i in range(len(seq) - 2)).values())
+
+
+def monotonous(seq: Column) -> Column:
+    """The older complexity test: fewer than four kinds of 2-mers, and one 2-mer in k / 2 - 1 places or more, or else fewer than eight kinds of
+    3-mers and one in k / 3 - 1 places or more."""
+    def kinds_and_most(n: int) -> tuple[Column, Column]:
+        grams = F.transform(F.sequence(F.lit(1), F.length(seq) - n + 1), lambda i: F.substring(seq, i, F.lit(n)))
+        kinds = F.array_distinct(grams)
+        return F.size(kinds), F.array_max(F.transform(kinds, lambda g: F.size(F.filter(grams, lambda x: x == g))))
+
+    (two, most_two), (three, most_three), k = kinds_and_most(2), kinds_and_most(3), F.length(seq)
+    frequent = (most_two >= F.floor(k / 2) - 1) | ((three < 8) & (most_three >= F.floor(k / 3) - 1))
+    return F.when(k < 3, F.lit(True)).otherwise((two < 4) & frequent)
+
+
 def hash64(x: np.ndarray) -> np.ndarray:
     """A 64-bit integer mix of shifts and adds, wrapping."""
     x = x.astype(np.uint64)

@@ -132,6 +132,44 @@ def chain_regions(anchors: np.ndarray, max_gap: int = 20, band_bases: int = 100,
     return sorted(out)
 
 
+def reach(q: str, t: str, max_distance: int = 10, max_gap: int = 5) -> tuple[int, int]:
+    """How far an alignment that ends before q and t goes on: (bases of q, bases of t), along the best chain of shared 2-mers from their begin.
+    A 2-mer adds two, less the distance and the gap to the one before it; a chain must come to one or more."""
+    ends: dict[str, list[int]] = {}
+    for j in range(len(t) - 1):
+        ends.setdefault(t[j : j + 2], []).append(j)
+    rows: list[dict[int, int]] = []
+    best, end = 0, (0, 0)
+    for i in range(len(q) - 1):
+        row = {}
+        for j in ends.get(q[i : i + 2], ()):
+            score = 2 - max(i, j) - abs(i - j) if max(i, j) <= max_distance and abs(i - j) <= max_gap else None
+            for back in range(1, min(i, max_distance) + 1):
+                for other, s in rows[i - back].items():
+                    ahead = j - other
+                    if 0 < ahead <= max_distance and abs(ahead - back) <= max_gap and (score is None or s + 2 - max(ahead, back) - abs(ahead - back) > score):
+                        score = s + 2 - max(ahead, back) - abs(ahead - back)
+            if score is not None:
+                row[j] = score
+                if score > best:
+                    best, end = score, (i + 2, j + 2)
+        rows.append(row)
+    return end
+
+
+def extended(q: str, t: str, region: tuple[int, int, int, int], base: int = 50) -> tuple[int, int, int, int]:
+    """A region (qb, qe, tb, te) with both ends moved outward by reach(), within base bases and some more for long regions."""
+    qb, qe, tb, te = region
+    most = base + next((more for size, more in ((1_000_000, 80), (250_000, 40), (50_000, 20), (10_000, 10)) if qe - qb > size), 0)
+    if len(q) - qe > 2 and len(t) - te > 2:
+        dq, dt = reach(q[qe : qe + most], t[te : te + most])
+        qe, te = qe + dq, te + dt
+    if qb > 2 and tb > 2:
+        dq, dt = reach(q[max(0, qb - most) : qb][::-1], t[max(0, tb - most) : tb][::-1])
+        qb, tb = qb - dq, tb - dt
+    return qb, qe, tb, te
+
+
 def align(q: str, t: str, mismatch: int = 4, gap_open: int = 6, gap_extend: int = 2, band: int = 64) -> tuple[str, int, int, int]:
     """Global gap-affine alignment in a band around the corners' diagonals: CIGAR (=, X, I on the query, D), matches, gap bases, gap openings."""
     n, m = len(q), len(t)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import alignment
+
 
 def merged(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Islands of overlapping or touching closed intervals of each key: keys, start, end, n."""
@@ -20,6 +22,24 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str, name: str
     return merged(df, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start) + 1).alias(name))
 
 
+def roll_up(df: DataFrame, keys: list[str], start: str, end: str, matched: str, length: str) -> DataFrame:
+    """Of the alignments of each cluster: their number, bounds, aligned (bases in any of them), matched, and coverage of length and identity in per cent."""
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(start).alias(start), F.max(end).alias(end), F.sum(matched).alias("matched"), F.max(length).alias(length))
+    both = sums.join(union_length(df.select(*keys, F.col(start).alias("_b"), F.col(end).alias("_e")), keys, "_b", "_e", "aligned"), keys)
+    return both.withColumn("coverage", alignment.share(F.col("aligned"), F.col(length))).withColumn("identity", alignment.share(F.col("matched"), F.col("aligned")))
+
+
+def spread(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """n, least, most, mean and exact quantiles (q25, ...) of value."""
+    cuts = [F.percentile(value, q).alias(f"q{round(q * 100)}") for q in quantiles]
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *cuts)
+
+
+def histogram(df: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
+    """(keys, bin, n): values in [bin, bin + width)."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, (F.floor(F.col(value) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def gaps_to_previous(df: DataFrame, keys: list[str], pos: str, name: str = "distance") -> DataFrame:
     return df.withColumn(name, F.col(pos) - F.lag(pos).over(Window.partitionBy(*keys).orderBy(pos)))
 
@@ -50,6 +70,16 @@ def as_of(points: DataFrame, intervals: DataFrame, key: str, pos: str, start: st
     return joined.where((F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end))).drop("bucket")
 
 
+def combinations(df: DataFrame, column: str, left: str, right: str) -> DataFrame:
+    """All pairs of distinct values with left < right. Ranks are counted off and joined by equality, so every pair is made once and none is dropped."""
+    values = df.select(column).distinct()
+    ranked = values.select(column, F.row_number().over(Window.orderBy(column)).alias("_rank"))
+    top = ranked.agg(F.max("_rank").alias("_top"))
+    first = ranked.select(F.col(column).alias(left), "_rank", F.lit(1).alias("_one")).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
+    first = first.where("_rank < _top").select(left, F.explode(F.sequence(F.col("_rank") + 1, F.col("_top"))).alias("_rank"))
+    return first.join(ranked.withColumnRenamed(column, right), "_rank").select(left, right)
+
+
 def near(a: DataFrame, b: DataFrame, key: str, pos: str, other: str, distance: int) -> DataFrame:
     """Pairs of the same key with |pos - other| <= distance, by two buckets of width 2 * distance."""
     width = 2 * distance

@@ -33,13 +33,7 @@ def _capture(batches, k, masks):
             value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)), np.repeat([False, True], len(at))
             order = np.lexsort((pos, rc, value))
             value, pos, rc = value[order], pos[order], rc[order]
-            # The least XOR shares the longest prefix; candidates stand next to the mask in sorted order.
-            low, high = np.zeros(len(code), np.int64), np.full(len(code), len(value))
-            for bit in range(2 * k - 1, -1, -1):
-                want = (code >> bit) & 1
-                edge = np.searchsorted(value, _split(value, low, bit))  # first of the range with this bit set
-                has = np.where(want == 1, edge < high, edge > low)
-                low, high = np.where(has & (want == 1), edge, low), np.where(has & (want == 0), edge, high)
+            low, high = least_xor(value, code, 2 * k)
             n = high - low
             pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append((np.full(len(pick), row), np.repeat(ids, n), value[pick], pos[pick], rc[pick]))
@@ -48,17 +42,110 @@ def _capture(batches, k, masks):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], ["id", "mask_id", "kmer", "pos", "rc"])
 
 
+def least_xor(value: np.ndarray, target: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each target, the range of value (sorted, not empty) with the least XOR: bit by bit the part that agrees, if there is one."""
+    low, high = np.zeros(len(target), np.int64), np.full(len(target), len(value))
+    for bit in range(bits - 1, -1, -1):
+        want = (target >> bit) & 1
+        edge = np.searchsorted(value, _split(value, low, bit))  # first of the range with this bit set
+        has = np.where(want == 1, edge < high, edge > low)
+        low, high = np.where(has & (want == 1), edge, low), np.where(has & (want == 0), edge, high)
+    return low, high
+
+
 def _split(value: np.ndarray, low: np.ndarray, bit: int) -> np.ndarray:
     """In a range of codes that agree above bit: the least code that has it set."""
     at = np.minimum(low, len(value) - 1)
     return (value[at] >> (bit + 1) << 1 | 1) << bit
 
 
+def packed_masks(masks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and codes. A mask table has some 10,000 rows at most, whatever the genomes."""
+    rows = masks.select("mask_id", "code").orderBy("mask_id").collect()
+    return np.array([r["mask_id"] for r in rows], np.int64), np.array([r["code"] for r in rows], np.int64)
+
+
+def nearest_masks(codes: np.ndarray, masks: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The mask with the least XOR with each code; of equal masks the first."""
+    ids, code = masks
+    order = np.lexsort((ids, code))
+    return ids[order][least_xor(code[order], codes, 2 * k)[0]]
+
+
+def _reverse(batches, k, masks):
+    for batch in batches:
+        at = batch.schema.get_field_index("kmer")
+        turned = kmers.reverse_codes(batch.column(at).to_numpy(zero_copy_only=False), k)
+        batch = batch.set_column(at, "kmer", pa.array(turned))
+        yield batch.set_column(batch.schema.get_field_index("mask_id"), "mask_id", pa.array((nearest_masks(turned, masks, k) if len(turned) else turned).astype(np.int32)))
+
+
+def reversed_seeds(found: DataFrame, masks: DataFrame, k: int) -> DataFrame:
+    """Seeds (mask_id, kmer, ...) with the bases of each k-mer in reverse order, under the mask that is nearest to it then: prefixes of these are
+    suffixes of the k-mers. Places that several masks captured come once."""
+    packed = packed_masks(masks)
+    return found.mapInArrow(lambda b: _reverse(b, k, packed), found.schema).distinct()
+
+
+def _fill(batches, k, masks, gap, step, reach, flank, max_dust):
+    for batch in batches:
+        out = []
+        for row, (seq, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for mask, kmer, pos, rc in desert_seeds(seq or "", places or [], k, masks, gap, step, reach, flank, max_dust):
+                out.append((row, mask, kmer, pos, rc))
+        if out:
+            row, mask, kmer, pos, rc = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(mask, pa.int32()), pa.array(kmer, pa.int64()), pa.array(pos, pa.int64()), pa.array(rc)], ["id", "mask_id", "kmer", "pos", "rc"])
+
+
+def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, np.ndarray], gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = 50):
+    """Seeds (mask, kmer, pos, rc) for stretches of at least gap bases without any. Around each stretch the masks capture anew; every step bases the
+    nearest captured k-mer within reach bases, back first, is taken: forward strand before reverse, no homopolymers or low complexity."""
+    last, out = len(seq) - k, []
+    if last < 0:
+        return out
+    ids, code = masks
+    edges = [0, *sorted(places), last]
+    raw = seq.encode()
+    for before, after in zip(edges, edges[1:], strict=False):
+        if after - before < gap:
+            continue
+        low = max(0, before - flank)
+        at, fwd, rev = kmers.codes(raw[low : after + flank + k], k)
+        if not len(at):
+            continue
+        value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)) + low, np.repeat([False, True], len(at))
+        order = np.argsort(value, kind="stable")
+        first, end = least_xor(value[order], code, 2 * k)
+        owner: dict[tuple[int, bool], tuple[int, int]] = {}
+        for mask, a, b in zip(ids.tolist(), first.tolist(), end.tolist(), strict=True):
+            for j in order[a:b].tolist():
+                owner.setdefault((int(pos[j]), bool(rc[j])), (mask, int(value[j])))
+        j = before + step
+        while j < after:
+            tried = [*range(j, max(before, j - reach), -1), *range(j + 1, min(after, j + reach))]
+            pick = next(((p, s) for p in tried for s in (False, True) if (p, s) in owner and kmers.dust_of(seq[p : p + k]) <= max_dust), None)
+            if pick:
+                out.append((*owner[pick], *pick))
+                j = pick[0] + step
+            else:
+                j += reach + step
+    return out
+
+
+def fill_deserts(contigs: DataFrame, id_col: str, seq_col: str, found: DataFrame, masks: DataFrame, k: int, gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = 50) -> DataFrame:
+    """Rows as of capture(), for the stretches that found leaves without a seed. A task holds one contig's places at a time."""
+    places = found.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_set("pos")).alias("_places"))
+    joined = contigs.select(id_col, seq_col).join(places, F.col(id_col) == F.col("_id"), "left").select(id_col, seq_col, "_places")
+    packed = packed_masks(masks)
+    kind = contigs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(lambda b: _fill(b, k, packed, gap, step, reach, flank, max_dust), f"id {kind}, mask_id int, kmer long, pos long, rc boolean").withColumnRenamed("id", id_col)
+
+
 def capture(df: DataFrame, id_col: str, seq_col: str, masks: DataFrame, k: int) -> DataFrame:
     """(id, mask_id, kmer, pos, rc): for each mask the k-mer of the sequence, on either strand, that has the least XOR with it; all its places.
     masks is a table of at most some 10,000 rows, whatever the genomes, and is sent to all tasks."""
-    rows = masks.select("mask_id", "code").orderBy("mask_id").collect()
-    packed = (np.array([r["mask_id"] for r in rows], np.int64), np.array([r["code"] for r in rows], np.int64))
+    packed = packed_masks(masks)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, seq_col).mapInArrow(lambda b: _capture(b, k, packed), f"id {kind}, mask_id int, kmer long, pos long, rc boolean").withColumnRenamed("id", id_col)
 

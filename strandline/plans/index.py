@@ -21,10 +21,14 @@ class Options:
     max_genome: int = 20_000_000
     contig_interval: int = 1000
     chunks: int = 16
+    max_desert: int = 100
+    desert_step: int = 50
 
     def __post_init__(self):
         if not 10 <= self.k <= kmers.MAX_K:
             raise ValueError("k must be from 10 to 31")
+        if self.desert_step < 1 or self.max_desert <= self.desert_step:
+            raise ValueError("desert_step must be 1 or more and below max_desert")
         if self.masks < 4 or self.chunks < 1 or self.min_length < 1:
             raise ValueError("masks must be 4 or more, chunks and min_length 1 or more")
 
@@ -53,7 +57,7 @@ def chunked(contigs: DataFrame, most: int) -> DataFrame:
 
 class Index:
     """Tables contigs(genome_id, seq_idx, seq_id, seq_len, offset_start, offset_end, seq), masks(mask_id, code) and
-    seeds(mask_id, kmer, genome_id, seq_idx, pos, rc)."""
+    seeds(mask_id, kmer, genome_id, seq_idx, pos, rc, rev). rev marks seeds whose bases stand in reverse order, for suffix matches."""
 
     def __init__(self, options: Options, contigs: DataFrame, masks: DataFrame, seed_rows: DataFrame):
         self.options, self.contigs, self.mask_rows, self.seeds = options, contigs, masks, seed_rows
@@ -65,7 +69,15 @@ class Index:
         keyed = contigs.select(F.struct("genome_id", "seq_idx").alias("id"), "seq")
         found = seeds.capture(keyed, "id", "seq", masks, options.k)
         low = F.col("kmer").isin([kmers.homopolymer(b, options.k) for b in "ACGT"])
-        return cls(options, contigs, masks, found.where(~low).select("mask_id", "kmer", "id.genome_id", "id.seq_idx", "pos", "rc"))
+        found = found.where(~low)
+        filled = found.unionByName(seeds.fill_deserts(keyed, "id", "seq", found, masks, options.k, options.max_desert, options.desert_step, options.desert_step // 2))
+        forward = filled.select("mask_id", "kmer", "id.genome_id", "id.seq_idx", "pos", "rc")
+        both = forward.withColumn("rev", F.lit(False)).unionByName(seeds.reversed_seeds(forward, masks, options.k).withColumn("rev", F.lit(True)))
+        return cls(options, contigs, masks, both)
+
+    def places(self) -> DataFrame:
+        """Seeds in the order of their bases: each captured place, without the reversed copies."""
+        return self.seeds.where(~F.col("rev"))
 
     def save(self, path: str, force: bool = False) -> None:
         mode = "overwrite" if force else "errorifexists"
@@ -73,12 +85,12 @@ class Index:
         self.mask_rows.coalesce(1).write.mode(mode).parquet(f"{path}/masks")
         laid = self.seeds.withColumn("mask_chunk", F.col("mask_id") % self.options.chunks)
         laid.repartition("mask_chunk", F.col("mask_id")).sortWithinPartitions("mask_id", "kmer").write.mode(mode).partitionBy("mask_chunk").parquet(f"{path}/seeds")
-        self.seeds.sparkSession.createDataFrame([(json.dumps(asdict(self.options) | {"format_version": 1}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/info")
+        self.seeds.sparkSession.createDataFrame([(json.dumps(asdict(self.options) | {"format_version": 2}),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/info")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         info = json.loads(spark.read.text(f"{path}/info").first()["value"])
-        if info.pop("format_version") != 1:
+        if info.pop("format_version") != 2:
             raise ValueError("this index has another format")
         return cls(Options(**info), spark.read.parquet(f"{path}/contigs"), spark.read.parquet(f"{path}/masks"), spark.read.parquet(f"{path}/seeds").drop("mask_chunk"))
 
@@ -97,7 +109,7 @@ class Index:
         return self.contigs.where(F.col("genome_id") == genome_id).orderBy("seq_idx").select("seq_id", "seq")
 
     def kmers(self, mask_id: int | None = None, only_forward: bool = False) -> DataFrame:
-        rows = self.seeds if mask_id is None else self.seeds.where(F.col("mask_id") == mask_id)
+        rows = self.places() if mask_id is None else self.places().where(F.col("mask_id") == mask_id)
         rows = rows.where(~F.col("rc")) if only_forward else rows
         masks = self.mask_rows.select("mask_id", "code")
         return rows.join(F.broadcast(masks), "mask_id").withColumn("prefix", kmers.common_prefix(F.col("kmer"), F.col("code"), self.options.k)).withColumn("kmer_seq", kmers.decode(F.col("kmer"), self.options.k)).drop("code")
@@ -106,13 +118,13 @@ class Index:
         return self.mask_rows.withColumn("kmer_seq", kmers.decode(F.col("code"), self.options.k))
 
     def seed_positions(self, genomes: list[str] | None = None, min_distance: int = 0) -> DataFrame:
-        rows = self.seeds if genomes is None else self.seeds.where(F.col("genome_id").isin(genomes))
+        rows = self.places() if genomes is None else self.places().where(F.col("genome_id").isin(genomes))
         rows = rows.select("genome_id", "seq_idx", "pos", "rc").distinct()
         out = intervals.gaps_to_previous(rows, ["genome_id", "seq_idx"], "pos")
         return out.where(F.coalesce("distance", F.lit(0)) >= min_distance)
 
     def seed_window_counts(self, size: int = 250, step: int = 100) -> DataFrame:
-        return intervals.sliding_counts(self.seeds.select("genome_id", "seq_idx", "pos").distinct(), ["genome_id", "seq_idx"], "pos", size, step)
+        return intervals.sliding_counts(self.places().select("genome_id", "seq_idx", "pos").distinct(), ["genome_id", "seq_idx"], "pos", size, step)
 
     def subseq(self, regions: DataFrame) -> DataFrame:
         """regions(genome_id, seq_id, start, end, strand), from 1: with the subsequence, ends cut at the contig's."""

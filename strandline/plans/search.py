@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import alignment, kmers
+from strandline.functions import alignment, kmers, thresholds
 from strandline.operators import chaining, intervals, seeds
 from strandline.plans.index import Index
 
@@ -37,10 +37,13 @@ def anchors(index: Index, queries: DataFrame, options: SearchOptions = SearchOpt
     """(query, genome_id, seq_idx, q, t, len, rc): matches of captured k-mers, begins from 0 on the forward strands."""
     k = index.options.k
     found = seeds.capture(queries.where(F.length("seq") >= k), "query", "seq", index.mask_rows, k)
-    m = seeds.match(found, index.seeds, k, options.min_prefix, ["mask_id"])
-    q = F.when(F.col("rc"), F.col("pos") + k - F.col("len")).otherwise(F.col("pos"))
-    t = F.when(F.col("s_rc"), F.col("s_pos") + k - F.col("len")).otherwise(F.col("s_pos"))
-    return m.select("query", F.col("s_genome_id").alias("genome_id"), F.col("s_seq_idx").alias("seq_idx"), q.cast("int").alias("q"), t.cast("int").alias("t"), "len", (F.col("rc") != F.col("s_rc")).alias("rc")).distinct()
+    side = lambda rows, rev: seeds.match(rows, index.seeds.where(F.col("rev") == rev), k, options.min_prefix, ["mask_id"])
+    # The shared end of a k-mer is at its begin on its own strand; on the other strand, and again for reversed k-mers, at its end.
+    begin = lambda pos, at_end: F.when(at_end, F.col(pos) + k - F.col("len")).otherwise(F.col(pos)).cast("int")
+    place = lambda m, q_end, t_end: m.select("query", F.col("s_genome_id").alias("genome_id"), F.col("s_seq_idx").alias("seq_idx"), begin("pos", q_end).alias("q"), begin("s_pos", t_end).alias("t"), "len", (F.col("rc") != F.col("s_rc")).alias("rc"))
+    prefixes = place(side(found, False), F.col("rc"), F.col("s_rc"))
+    suffixes = place(side(seeds.reversed_seeds(found, index.mask_rows, k), True), ~F.col("rc"), ~F.col("s_rc"))
+    return prefixes.unionByName(suffixes).distinct()
 
 
 CHAIN_SCHEMA = "query string, genome_id string, seq_idx int, rc boolean, chain int, score float, qb int, qe int, tb int, te int, n int"
@@ -116,7 +119,8 @@ def hits(chained: DataFrame, queries: DataFrame, contigs: DataFrame, options: Se
                 q, t = r.qseq_all[q0:q1], r.window
                 if r.rc:
                     t = t.translate(_COMPLEMENT)[::-1]
-                for qb, qe, tb, te, _ in shared_regions(q, t, options.min_length):
+                for *region, _ in shared_regions(q, t, options.min_length):
+                    qb, qe, tb, te = chaining.extended(q, t, tuple(region))
                     cigar, matches, gaps, opens = chaining.align(q[qb:qe], t[tb:te])
                     a, b, m = texts_of(q[qb:qe], t[tb:te], cigar)
                     if r.rc:
@@ -169,8 +173,10 @@ def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70,
     """(query, subject, ANI, qAF, sAF, tANI): genomes of a against genomes of b (contigs of both), by aligned fragments. reciprocal keeps mutual best
     fragments alone; else each query fragment's best."""
     fa, fb = fragments(a, size), fragments(b, size)
+    # The shortest fragments count as well, so the bound is that of their length.
+    least = max(3, thresholds.least_shared(100, 11, 4, 0.8))
     named = lambda f, c, s: f.select(F.concat_ws("|", "genome_id", "frag").alias(c), F.col("genome_id").alias(f"g_{c}"), F.col("seq").alias(s), F.col("frag_len").alias(f"len_{c}"))
-    pairs = fragment_pairs(fa, fb).join(named(fa, "frag_a", "qa"), "frag_a").join(named(fb, "frag_b", "tb"), "frag_b")
+    pairs = fragment_pairs(fa, fb, least=least).join(named(fa, "frag_a", "qa"), "frag_a").join(named(fb, "frag_b", "tb"), "frag_b")
     schema = "frag_a string, frag_b string, g_frag_a string, g_frag_b string, len_frag_a int, len_frag_b int, matches int, aligned int"
 
     def run(batches):

@@ -304,8 +304,7 @@ def pair_screen(spark, sf):
 
 @query("SELECT a.n_nationkey AS g1, b.n_nationkey AS g2 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def combinations2(spark, sf):
-    n = table(spark, sf, "nation")
-    return n.select(F.col("n_nationkey").alias("g1")).join(n.select(F.col("n_nationkey").alias("g2")), F.col("g1") < F.col("g2"))
+    return intervals.combinations(table(spark, sf, "nation"), "n_nationkey", "g1", "g2")
 
 
 @query(f"WITH {_SPANS}, u AS (SELECT grp, b, e FROM s) SELECT p.grp, p.b AS pos, u.b, u.e FROM s p JOIN u ON p.grp = u.grp AND p.b BETWEEN u.b AND u.e")

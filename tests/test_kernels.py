@@ -1,11 +1,12 @@
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 
-from strandline.functions import kmers
-from strandline.operators import chaining
+from strandline.functions import kmers, thresholds
+from strandline.operators import chaining, seeds
 from strandline.plans.index import Options
 from strandline.plans.search import texts_of
 
@@ -60,3 +61,52 @@ def test_chain_and_regions():
 def test_options():
     with pytest.raises(ValueError):
         Options(k=32)
+
+
+def test_reach_goes_past_a_mismatch_and_stops_at_unlike_bases():
+    assert chaining.reach("ACGTTGCAAC", "ACGTTGCAAC") == (10, 10)
+    q, t = "ACGTACCTGACTTG", "ACGTAGCTGACTTG"
+    assert chaining.reach(q, t) == (14, 14)
+    assert chaining.reach("AAAAAAAA", "CCCCCCCC") == (0, 0) and chaining.reach("", "ACGT") == (0, 0)
+
+
+def test_extended_stays_inside_and_covers_both_ends():
+    rng = random.Random(5)
+    core = "".join(rng.choice("ACGT") for _ in range(200))
+    q, t = core, "TT" + core[:20] + ("A" if core[20] != "A" else "C") + core[21:] + "GG"
+    qb, qe, tb, te = chaining.extended(q, t, (40, 150, 42, 152))
+    assert 0 <= qb <= 2 and 198 <= qe <= 200 and tb - qb == 2 and te - qe == 2
+
+
+def test_nearest_masks_and_reversal_against_brute_force():
+    rng = np.random.default_rng(7)
+    code = np.unique(rng.integers(0, 4**12, 50))
+    rng.shuffle(code)
+    masks, values = (np.arange(len(code)), code), rng.integers(0, 4**12, 300)
+    want = [int(np.argmin(code ^ v)) for v in values]
+    assert seeds.nearest_masks(values, masks, 12).tolist() == want
+    turned = kmers.reverse_codes(values, 12)
+    assert (kmers.reverse_codes(turned, 12) == values).all()
+    assert turned[0] == int(np.base_repr(values[0], 4).zfill(12)[::-1], 4)
+
+
+def test_desert_seeds_fill_the_stretch_and_come_from_the_text():
+    rng = random.Random(9)
+    seq = "".join(rng.choice("ACGT") for _ in range(3000))
+    ids, code = np.arange(256), np.array(sorted(rng.sample(range(4**21), 256)))
+    found = list(seeds.desert_seeds(seq, [500, 2500], 21, (ids, code)))
+    assert len(found) > 20
+    for mask, kmer, pos, rc in found:
+        part = seq[pos : pos + 21]
+        part = part.translate(str.maketrans("ACGT", "TGCA"))[::-1] if rc else part
+        assert kmer == int("".join(str("ACGT".index(c)) for c in part), 4) and 0 <= mask < 256
+    assert list(seeds.desert_seeds(seq, list(range(0, 2980, 60)), 21, (ids, code))) == []
+    assert list(seeds.desert_seeds("", [], 21, (ids, code))) == [] and list(seeds.desert_seeds("A" * 500, [], 21, (ids, code))) == []
+
+
+def test_thresholds():
+    n, p = 1020 - 11 + 1, 0.8**11 / 4
+    mass = [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(60)]
+    want = next(k for k in range(60) if sum(mass[: k + 1]) > 0.01)
+    assert thresholds.least_shared(1020, 11, 4, 0.8) == want and thresholds.least_shared(5, 11, 4, 0.8) == 1
+    assert thresholds.least_shared_normal(1020, 11, 4, 0.8, 0.99) == math.floor(n * p - 2.33 * math.sqrt(n * p))
