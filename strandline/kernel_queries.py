@@ -143,14 +143,7 @@ def genome_ani(spark, sf):
     return plan.ani(_contigs(items(spark, sf), "item_id", "item"), _contigs(genomes(spark, sf), "doc_id", "doc"), min_coverage=15)
 
 
-@query()
-def desert_fill(spark, sf):
-    """Seeds that the index adds where 100 bases of a document hold none."""
-    g, masks = genomes(spark, sf), seeds.generate_masks(spark, 21, 64)
-    return seeds.fill_deserts(g, "doc_id", "seq", seeds.capture(g, "doc_id", "seq", masks, 21), masks, 21)
-
-
 @query()
 def index_places(spark, sf):
-    """All seeds of the index of the documents, forward and reversed."""
+    """All seeds of the index of the documents: captured, added where 100 bases hold none, and reversed."""
     return _index(spark, sf).seeds

@@ -22,24 +22,32 @@ def generate_masks(spark: SparkSession, k: int, n: int, seed: int = 1) -> DataFr
     return spark.createDataFrame([(i, c) for c, i in found.items()], "mask_id int, code long")
 
 
-def _capture(batches, k, masks):
+def captured(seq: str | None, k: int, masks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(mask, kmer, pos, rc) of one sequence: for each mask the k-mers of either strand with the least XOR."""
     ids, code = masks
+    at, fwd, rev = kmers.codes((seq or "").encode(), k)
+    if not len(at):
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
+    value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)), np.repeat([False, True], len(at))
+    order = np.lexsort((pos, rc, value))
+    value, pos, rc = value[order], pos[order], rc[order]
+    low, high = least_xor(value, code, 2 * k)
+    n = high - low
+    pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(ids, n), value[pick], pos[pick], rc[pick]
+
+
+def _rows(batch, out: list, names: list[str]):
+    """A batch of rows (row number, mask, kmer, pos, rc, ...) with the ids of the rows they come from."""
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], names)
+
+
+def _capture(batches, k, masks):
     for batch in batches:
-        out = []
-        for row, s in enumerate(batch.column(1).to_pylist()):
-            at, fwd, rev = kmers.codes((s or "").encode(), k)
-            if not len(at):
-                continue
-            value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)), np.repeat([False, True], len(at))
-            order = np.lexsort((pos, rc, value))
-            value, pos, rc = value[order], pos[order], rc[order]
-            low, high = least_xor(value, code, 2 * k)
-            n = high - low
-            pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((np.full(len(pick), row), np.repeat(ids, n), value[pick], pos[pick], rc[pick]))
+        out = [(np.full(len(found[0]), row), *found) for row, s in enumerate(batch.column(1).to_pylist()) for found in [captured(s, k, masks)]]
         if out:
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], ["id", "mask_id", "kmer", "pos", "rc"])
+            yield _rows(batch, out, ["id", "mask_id", "kmer", "pos", "rc"])
 
 
 def least_xor(value: np.ndarray, target: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +95,32 @@ def reversed_seeds(found: DataFrame, masks: DataFrame, k: int) -> DataFrame:
     return found.mapInArrow(lambda b: _reverse(b, k, packed), found.schema).distinct()
 
 
-def _fill(batches, k, masks, gap, step, reach, flank, max_dust):
+def _index_seeds(batches, k, masks, gap, step, reach):
+    flat = np.array([kmers.homopolymer(b, k) for b in "ACGT"])
     for batch in batches:
         out = []
-        for row, (seq, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            for mask, kmer, pos, rc in desert_seeds(seq or "", places or [], k, masks, gap, step, reach, flank, max_dust):
-                out.append((row, mask, kmer, pos, rc))
+        for row, seq in enumerate(batch.column(1).to_pylist()):
+            found = captured(seq, k, masks)
+            found = [x[~np.isin(found[1], flat)] for x in found]
+            more = desert_seeds(seq or "", np.unique(found[2]).tolist(), k, masks, gap, step, reach)
+            if more:
+                found = [np.concatenate((x, np.array(y, x.dtype))) for x, y in zip(found, zip(*more, strict=True), strict=True)]
+            # Reversed copies: a place that several masks captured comes once, since its k-mer has one nearest mask.
+            _, once = np.unique(found[2] * 2 + found[3], return_index=True)
+            turned = kmers.reverse_codes(found[1][once], k)
+            back = (nearest_masks(turned, masks, k), turned, found[2][once], found[3][once])
+            for n, part in enumerate((found, back)):
+                out.append((np.full(len(part[0]), row), *part, np.full(len(part[0]), bool(n))))
         if out:
-            row, mask, kmer, pos, rc = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(mask, pa.int32()), pa.array(kmer, pa.int64()), pa.array(pos, pa.int64()), pa.array(rc)], ["id", "mask_id", "kmer", "pos", "rc"])
+            yield _rows(batch, out, ["id", "mask_id", "kmer", "pos", "rc", "rev"])
+
+
+def index_seeds(df: DataFrame, id_col: str, seq_col: str, masks: DataFrame, k: int, gap: int = 100, step: int = 50, reach: int = 25) -> DataFrame:
+    """(id, mask_id, kmer, pos, rc, rev): captured seeds without homopolymers, those that desert_seeds() adds, and the reversed copies of both (rev),
+    for suffix matches. A sequence's seeds depend on it alone: one pass, no shuffle."""
+    packed = packed_masks(masks)
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, seq_col).mapInArrow(lambda b: _index_seeds(b, k, packed, gap, step, reach), f"id {kind}, mask_id int, kmer long, pos long, rc boolean, rev boolean").withColumnRenamed("id", id_col)
 
 
 def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, np.ndarray], gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = 50):
@@ -133,15 +158,6 @@ def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, n
     return out
 
 
-def fill_deserts(contigs: DataFrame, id_col: str, seq_col: str, found: DataFrame, masks: DataFrame, k: int, gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = 50) -> DataFrame:
-    """Rows as of capture(), for the stretches that found leaves without a seed. A task holds one contig's places at a time."""
-    places = found.groupBy(F.col(id_col).alias("_id")).agg(F.sort_array(F.collect_set("pos")).alias("_places"))
-    joined = contigs.select(id_col, seq_col).join(places, F.col(id_col) == F.col("_id"), "left").select(id_col, seq_col, "_places")
-    packed = packed_masks(masks)
-    kind = contigs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(lambda b: _fill(b, k, packed, gap, step, reach, flank, max_dust), f"id {kind}, mask_id int, kmer long, pos long, rc boolean").withColumnRenamed("id", id_col)
-
-
 def capture(df: DataFrame, id_col: str, seq_col: str, masks: DataFrame, k: int) -> DataFrame:
     """(id, mask_id, kmer, pos, rc): for each mask the k-mer of the sequence, on either strand, that has the least XOR with it; all its places.
     masks is a table of at most some 10,000 rows, whatever the genomes, and is sent to all tasks."""

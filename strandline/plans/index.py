@@ -67,13 +67,8 @@ class Index:
         contigs, _ = valid_contigs(records, options)
         masks = seeds.generate_masks(records.sparkSession, options.k, options.masks, options.seed) if masks is None else masks
         keyed = contigs.select(F.struct("genome_id", "seq_idx").alias("id"), "seq")
-        found = seeds.capture(keyed, "id", "seq", masks, options.k)
-        low = F.col("kmer").isin([kmers.homopolymer(b, options.k) for b in "ACGT"])
-        found = found.where(~low)
-        filled = found.unionByName(seeds.fill_deserts(keyed, "id", "seq", found, masks, options.k, options.max_desert, options.desert_step, options.desert_step // 2))
-        forward = filled.select("mask_id", "kmer", "id.genome_id", "id.seq_idx", "pos", "rc")
-        both = forward.withColumn("rev", F.lit(False)).unionByName(seeds.reversed_seeds(forward, masks, options.k).withColumn("rev", F.lit(True)))
-        return cls(options, contigs, masks, both)
+        found = seeds.index_seeds(keyed, "id", "seq", masks, options.k, options.max_desert, options.desert_step, options.desert_step // 2)
+        return cls(options, contigs, masks, found.select("mask_id", "kmer", "id.genome_id", "id.seq_idx", "pos", "rc", "rev"))
 
     def places(self) -> DataFrame:
         """Seeds in the order of their bases: each captured place, without the reversed copies."""

@@ -37,13 +37,11 @@ def anchors(index: Index, queries: DataFrame, options: SearchOptions = SearchOpt
     """(query, genome_id, seq_idx, q, t, len, rc): matches of captured k-mers, begins from 0 on the forward strands."""
     k = index.options.k
     found = seeds.capture(queries.where(F.length("seq") >= k), "query", "seq", index.mask_rows, k)
-    side = lambda rows, rev: seeds.match(rows, index.seeds.where(F.col("rev") == rev), k, options.min_prefix, ["mask_id"])
-    # The shared end of a k-mer is at its begin on its own strand; on the other strand, and again for reversed k-mers, at its end.
-    begin = lambda pos, at_end: F.when(at_end, F.col(pos) + k - F.col("len")).otherwise(F.col(pos)).cast("int")
-    place = lambda m, q_end, t_end: m.select("query", F.col("s_genome_id").alias("genome_id"), F.col("s_seq_idx").alias("seq_idx"), begin("pos", q_end).alias("q"), begin("s_pos", t_end).alias("t"), "len", (F.col("rc") != F.col("s_rc")).alias("rc"))
-    prefixes = place(side(found, False), F.col("rc"), F.col("s_rc"))
-    suffixes = place(side(seeds.reversed_seeds(found, index.mask_rows, k), True), ~F.col("rc"), ~F.col("s_rc"))
-    return prefixes.unionByName(suffixes).distinct()
+    both = found.withColumn("rev", F.lit(False)).unionByName(seeds.reversed_seeds(found, index.mask_rows, k).withColumn("rev", F.lit(True)))
+    m = seeds.match(both, index.seeds, k, options.min_prefix, ["mask_id", "rev"])
+    # The shared bases stand at a k-mer's begin; on the reverse strand, or else in a reversed k-mer, at its end.
+    begin = lambda pos, rc: F.when(F.col(rc) != F.col("rev"), F.col(pos) + k - F.col("len")).otherwise(F.col(pos)).cast("int")
+    return m.select("query", F.col("s_genome_id").alias("genome_id"), F.col("s_seq_idx").alias("seq_idx"), begin("pos", "rc").alias("q"), begin("s_pos", "s_rc").alias("t"), "len", (F.col("rc") != F.col("s_rc")).alias("rc")).distinct()
 
 
 CHAIN_SCHEMA = "query string, genome_id string, seq_idx int, rc boolean, chain int, score float, qb int, qe int, tb int, te int, n int"
