@@ -5,8 +5,6 @@ Groups stay small: anchors reach these kernels after seed matching by (query, ge
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 
 
@@ -24,12 +22,13 @@ def clear_nested(anchors: np.ndarray, k: int) -> np.ndarray:
     return a[keep]
 
 
-def _weight(n: float) -> np.float32:
-    return np.float32(0.1) * np.float32(n) * np.float32(n)
+def _weights(n: np.ndarray) -> np.ndarray:
+    n = n.astype(np.float32)
+    return np.float32(0.1) * n * n
 
 
-def _gap_cost(g: float) -> np.float32:
-    return np.float32(0) if g == 0 else np.float32(0.1 * g + 0.5 * math.log2(g))
+def _gap_costs(g: np.ndarray) -> np.ndarray:
+    return np.where(g == 0, 0, 0.1 * g + 0.5 * np.log2(np.maximum(g, 1))).astype(np.float32)
 
 
 def chain(anchors: np.ndarray, max_gap: int = 50, max_distance: int = 1000, min_score: float = 28.9, top: int | None = None) -> list[tuple[list[int], float]]:
@@ -37,34 +36,31 @@ def chain(anchors: np.ndarray, max_gap: int = 50, max_distance: int = 1000, min_
     n = len(anchors)
     if n == 0:
         return []
-    q, t, size = (anchors[:, c].astype(int).tolist() for c in range(3))
-    if n == 1:
-        s = _weight(size[0])
-        return [([0], float(s))] if s >= np.float32(min_score) else []
-    score, prev, way = [_weight(x) for x in size], list(range(n)), [0] * n
+    q, t, size = (anchors[:, c].astype(np.int64) for c in range(3))
+    score, prev, way = _weights(size), list(range(n)), np.zeros(n, np.int64)
+    own = score.copy()
     limit = np.float32(min_score)
+    if n == 1:
+        return [([0], float(score[0]))] if score[0] >= limit else []
+    first = np.searchsorted(q, q - max_distance)
     for i in range(1, n):
-        best = score[i]
-        for j in range(i - 1, -1, -1):
-            if q[i] - q[j] > max_distance:
-                break
-            if abs(t[i] - t[j]) > max_distance or q[i] == q[j] or t[i] == t[j]:
-                continue
-            dt = abs(t[i] - t[j]) if t[i] >= t[j] else abs(t[i] + size[i] - t[j] - size[j])
-            gap = abs(abs(q[i] - q[j]) - dt)
-            if gap > max_gap:
-                continue
-            if q[i] > q[j] + size[j]:
-                w = _weight(size[i])
-            elif gap == 0:
-                w = _weight(q[i] + size[i] - q[j]) - _weight(size[j])
-            else:
-                w = _weight(q[i] + size[i] - q[j] - size[j])
-            d = 1 if t[i] >= t[j] else -1
-            s = (score[j] if way[j] in (0, d) else _weight(size[j])) + w - _gap_cost(gap)
-            if s >= limit and s > best:
-                best, prev[i], way[i] = s, j, d
-        score[i] = best
+        j = np.arange(i - 1, first[i] - 1, -1)
+        if not len(j):
+            continue
+        ahead = t[i] >= t[j]
+        dt = np.where(ahead, t[i] - t[j], np.abs(t[i] + size[i] - t[j] - size[j]))
+        gap = np.abs(q[i] - q[j] - dt)
+        keep = (np.abs(t[i] - t[j]) <= max_distance) & (q[i] != q[j]) & (t[i] != t[j]) & (gap <= max_gap)
+        j, gap, d = j[keep], gap[keep], np.where(ahead[keep], 1, -1)
+        if not len(j):
+            continue
+        beyond = _weights(q[i] + size[i] - q[j] - size[j])
+        w = np.where(q[i] > q[j] + size[j], own[i], np.where(gap == 0, _weights(q[i] + size[i] - q[j]) - own[j], beyond))
+        s = np.where((way[j] == 0) | (way[j] == d), score[j], own[j]) + w - _gap_costs(gap)
+        top_at = int(np.argmax(s))  # the nearest of equal ones
+        if s[top_at] >= limit and s[top_at] > score[i]:
+            score[i], prev[i], way[i] = s[top_at], int(j[top_at]), d[top_at]
+    score, way = list(score), way.tolist()
     used, out, tries = [False] * n, [], 0
     for i in sorted(range(n), key=lambda k: (-score[k], k)):
         if score[i] < limit or (top is not None and tries >= top):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,34 @@ def anchors(index: Index, queries: DataFrame, options: SearchOptions = SearchOpt
 
 
 CHAIN_SCHEMA = "query string, genome_id string, seq_idx int, rc boolean, chain int, score float, qb int, qe int, tb int, te int, n int"
+_CHAIN_KEYS = ["query", "genome_id", "seq_idx", "rc"]
+_CHAIN_ARROW = pa.schema([("query", pa.string()), ("genome_id", pa.string()), ("seq_idx", pa.int32()), ("rc", pa.bool_()), ("chain", pa.int32()), ("score", pa.float32()), *((c, pa.int32()) for c in ("qb", "qe", "tb", "te", "n"))])
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over all shuffle partitions. The number is stated since few bytes may be much work here, which adaptive coalescing can't know."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def chains(found: DataFrame, k: int, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """Chains of the anchors of each query, contig and strand. Spark sorts the anchors, on disk if need be; a task holds one group at a time."""
     least = 0.1 * options.min_single_prefix**2
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = chaining.clear_nested(pdf[["q", "t", "len"]].to_numpy(np.int64), k)
-        first, rows = pdf.iloc[0], []
-        for n, (path, score) in enumerate(chaining.chain(a, options.max_gap, options.max_distance, least)):
-            p = a[path]
-            rows.append((first["query"], first["genome_id"], first["seq_idx"], first["rc"], n, score, p[:, 0].min(), (p[:, 0] + p[:, 2]).max(), p[:, 1].min(), (p[:, 1] + p[:, 2]).max(), len(path)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN_SCHEMA.split(", ")])
-
-    return found.groupBy("query", "genome_id", "seq_idx", "rc").applyInPandas(run, CHAIN_SCHEMA)
+    def run(batches):
+        anchor_rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out = []
+        for key, group in groupby(anchor_rows, key=lambda r: r[:4]):
+            a = chaining.clear_nested(np.array([r[4:] for r in group], np.int64), k)
+            for n, (path, score) in enumerate(chaining.chain(a, options.max_gap, options.max_distance, least)):
+                p = a[path]
+                out.append((*key, n, score, *(int(x) for x in (p[:, 0].min(), (p[:, 0] + p[:, 2]).max(), p[:, 1].min(), (p[:, 1] + p[:, 2]).max(), len(path)))))
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CHAIN_ARROW, strict=True)], schema=_CHAIN_ARROW)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CHAIN_ARROW, strict=True)], schema=_CHAIN_ARROW)
+
+    return dealt(found.select(*_CHAIN_KEYS, "q", "t", "len"), *_CHAIN_KEYS).sortWithinPartitions(*_CHAIN_KEYS).mapInArrow(run, CHAIN_SCHEMA)
 
 
 HIT_SCHEMA = "query string, genome_id string, seq_idx int, chain int, qb int, qe int, tb int, te int, rc boolean, cigar string, matches int, gaps int, opens int, alen int, qseq string, sseq string, align string"
@@ -126,7 +142,7 @@ def hits(chained: DataFrame, queries: DataFrame, contigs: DataFrame, options: Se
                     rows.append((r.query, r.genome_id, r.seq_idx, r.chain, q0 + qb, q0 + qe, r.w0 + tb, r.w0 + te, r.rc, cigar, matches, gaps, opens, len(m), a, b, m))
             yield pd.DataFrame(rows, columns=names)
 
-    found = windows.mapInPandas(run, HIT_SCHEMA)
+    found = dealt(windows, "query", "genome_id", "seq_idx", "chain").mapInPandas(run, HIT_SCHEMA)
     return found.dropDuplicates(["query", "genome_id", "seq_idx", "rc", "qb", "qe", "tb", "te"])
 
 
@@ -190,7 +206,7 @@ def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70,
                     rows.append((r.frag_a, r.frag_b, r.g_frag_a, r.g_frag_b, r.len_frag_a, r.len_frag_b, *best))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    found = pairs.mapInPandas(run, schema).withColumn("pident", alignment.share(F.col("matches"), F.col("aligned")))
+    found = dealt(pairs, "frag_a", "frag_b").mapInPandas(run, schema).withColumn("pident", alignment.share(F.col("matches"), F.col("aligned")))
     found = found.where((F.col("pident") >= min_identity) & (F.col("aligned") * 100 >= min_coverage * F.col("len_frag_a"))).withColumn("value", F.col("aligned") * F.col("pident"))
     wa, wb = Window.partitionBy("frag_a", "g_frag_b").orderBy(F.desc("value"), "frag_b"), Window.partitionBy("frag_b", "g_frag_a").orderBy(F.desc("value"), "frag_a")
     best = found.withColumn("ra", F.row_number().over(wa)).withColumn("rb", F.row_number().over(wb)).where("ra = 1 and rb = 1" if reciprocal else "ra = 1")
