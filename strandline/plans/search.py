@@ -35,11 +35,18 @@ class SearchOptions:
             raise ValueError("prefixes must be from 5 to 31, the single one not the shorter")
 
 
+#: Seeds of queries (some 50 bytes each) that are sent to all tasks at most.
+BROADCAST_SEEDS = 500_000
+
+
 def anchors(index: Index, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """(query, genome_id, seq_idx, q, t, len, rc): matches of captured k-mers, begins from 0 on the forward strands."""
     k = index.options.k
     found = seeds.capture(queries.where(F.length("seq") >= k), "query", "seq", index.mask_rows, k)
     both = found.withColumn("rev", F.lit(False)).unionByName(seeds.reversed_seeds(found, index.mask_rows, k).withColumn("rev", F.lit(True)))
+    # Few query seeds are sent to the index, so that it isn't shuffled; more are joined by shuffles.
+    if both.count() <= BROADCAST_SEEDS:
+        both = F.broadcast(both)
     m = seeds.match(both, index.seeds, k, options.min_prefix, ["mask_id", "rev"])
     # The shared bases stand at a k-mer's begin; on the reverse strand, or else in a reversed k-mer, at its end.
     begin = lambda pos, rc: F.when(F.col(rc) != F.col("rev"), F.col(pos) + k - F.col("len")).otherwise(F.col(pos)).cast("int")
