@@ -190,8 +190,8 @@ def fragment_pairs(a: DataFrame, b: DataFrame, k: int = 11, scale: int = 4, leas
     return intervals.top(both, ["frag_a"], [F.desc("shared"), F.col("frag_b")], top)
 
 
-def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70, min_coverage: float = 15, reciprocal: bool = True, min_fraction: float = 0) -> DataFrame:
-    """(query, subject, ANI, qAF, sAF, tANI): genomes of a against genomes of b (contigs of both), by aligned fragments. reciprocal keeps mutual best
+def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70, min_coverage: float = 15, reciprocal: bool = True, min_fraction: float = 0, min_ani: float = 0) -> DataFrame:
+    """(query, subject, ANI, qAF, sAF, tANI): genomes of a against genomes of b (contigs of both), by aligned fragments, all in per cent. reciprocal keeps mutual best
     fragments alone; else each query fragment's best."""
     fa, fb = fragments(a, size), fragments(b, size)
     # The shortest fragments count as well, so the bound is that of their length.
@@ -220,8 +220,8 @@ def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70,
     total = lambda f, g, n: f.groupBy(F.col("genome_id").alias(g)).agg(F.sum("frag_len").alias(n))
     sums = best.groupBy(F.col("g_frag_a").alias("query"), F.col("g_frag_b").alias("subject")).agg(F.avg("pident").alias("ANI"), F.sum("aligned").alias("aligned"), F.sum("matches").alias("matches"))
     out = sums.join(total(fa, "query", "qsize"), "query").join(total(fb, "subject", "ssize"), "subject")
-    out = out.select("query", "subject", "ANI", F.least(F.lit(1.0), F.col("aligned") / F.col("qsize")).alias("qAF"), F.least(F.lit(1.0), F.col("aligned") / F.col("ssize")).alias("sAF"), (F.col("matches") * 200 / (F.col("qsize") + F.col("ssize"))).alias("tANI"))
-    return out.where(F.col("qAF") >= min_fraction)
+    out = out.select("query", "subject", "ANI", alignment.share(F.col("aligned"), F.col("qsize")).alias("qAF"), alignment.share(F.col("aligned"), F.col("ssize")).alias("sAF"), (F.col("matches") * 200 / (F.col("qsize") + F.col("ssize"))).alias("tANI"))
+    return out.where((F.col("qAF") >= min_fraction) & (F.col("ANI") >= min_ani))
 
 
 def merge_results(*tables: DataFrame, query: str | None = None) -> DataFrame:
