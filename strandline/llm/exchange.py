@@ -6,7 +6,8 @@ fingerprint that a third of all documents share costs seven bytes for each of it
 of text however large the corpus is, since the number of buckets follows the corpus. The answers travel back likewise, packed by groups of documents.
 
 A document is named by key_column(), a 64-bit hash of its id and text. Rows with equal id and text share a key and have equal fingerprints, hence
-equal answers. Two unequal fingerprinted spans are taken for equal with probability 2**-(56 + log2(buckets)) a pair.
+equal answers. A fingerprint has 64 bits: seven bytes are sent, and the bucket follows from the top ones. Two unequal spans are thus taken for equal with
+probability 2**-64 a pair from 256 buckets on, and 2**-(56 + log2(buckets)) below that.
 """
 
 from __future__ import annotations
