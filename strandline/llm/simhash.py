@@ -205,24 +205,32 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct()) if before[0] else spark.createDataFrame([], "node long, root long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """Of documents (doc_id, text): doc_id, fingerprint (hex), component_id."""
+def _parts(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents (doc_id, text): fingerprints (doc_id, fp), nodes (fp, root) and the components (root, component_id)."""
     fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes, nodes.count())).select(F.col("node").alias("fp"), "root")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    parts = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return fps, nodes, nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """Of documents (doc_id, text): doc_id, fingerprint (hex), component_id."""
+    fps, nodes, parts = _parts(docs, shingle_words)
     named = nodes.join(parts, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays. doc_id names a document: of rows that share one, one
-    stays. Of the rows with a null doc_id one stays, if a component has no other."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle_words)
-    stay = found.select("component_id").distinct().withColumnRenamed("component_id", "stay_id")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
+    """docs without near-duplicates: of each component one row stays, that with the smallest doc_id (nulls last), and of those that share it the one whose text has
+    the smallest digest. Rows of different components stay even if they share a doc_id, or have none."""
+    # As this orders rows and tells texts apart, the smallest of a component is in no other one.
+    row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("digest"))
+    marked = docs.withColumn("_row", row)
+    *_, parts = _parts(marked.select(F.col("_row").alias("doc_id"), "text"), shingle_words)
+    kept = marked.join(parts.select(F.col("component_id").alias("_row")), "_row", "left_semi")
+    # By the digest, not by _row: the exchange this asks for sends one row a task of many equal ones, and lets Spark split a join partition that they fill.
+    return kept.select("*", F.col("_row.digest").alias("_digest")).dropDuplicates(["doc_id", "_digest"]).drop("_row", "_digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
