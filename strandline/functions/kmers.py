@@ -25,8 +25,9 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def plain_bases(seq: Column, soft_mask: bool = False) -> Column:
-    """Upper case; what is not a base becomes A. With soft_mask, so do lower-case bases."""
-    return F.regexp_replace(seq if soft_mask else F.upper(seq), "[^ACGT]", "A")
+    """Upper case; each character that is not a base becomes A. With soft_mask, so do lower-case bases. Null stays null."""
+    # Not upper(), which makes two characters of some.
+    return F.regexp_replace(seq if soft_mask else F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "A")
 
 
 def encode(seq: Column) -> Column:

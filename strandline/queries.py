@@ -101,6 +101,12 @@ def base_convert(spark, sf):
     return docs.select("doc_id", F.md5(kmers.plain_bases(F.col("text")).cast("binary")).alias("bases_md5"))
 
 
+@query("SELECT doc_id, md5(regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', 'A', 'g')) AS bases_md5 FROM documents")
+def base_convert_all(spark, sf):
+    """base_convert() of every document, whatever its characters. A null text has a null digest."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(kmers.plain_bases(F.col("text")).cast("binary")).alias("bases_md5"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_orderkey = l_partkey THEN 31 ELSE 31 - (length(ltrim(bin(xor(l_orderkey, l_partkey)), '0')) + 1) // 2 END AS INTEGER) AS lcp, CAST(bit_count((xor(l_orderkey, l_partkey) | (xor(l_orderkey, l_partkey) >> 1)) & 6148914691236517205) AS INTEGER) AS mismatches FROM lineitem")
 def kmer_lcp(spark, sf):
     a, b = F.col("l_orderkey"), F.col("l_partkey")
