@@ -4,8 +4,8 @@ Counts of words, characters, symbols and repeated lines and 5-word windows are t
 doubling; all documents of a slice share one array, since words of different documents count as different) and its longest common prefixes give the
 maximal repeated substrings: the longest LCP interval that holds a suffix has the larger of the suffix's two neighbouring prefixes as its length.
 Repeats of at least min_repeat words are united into spans. A document is rejected if they cover more than covered_limit of its words or the longest has
-more than longest_limit words, and if the base rules reject it. Only documents with a repeated 5-word window enter the array: the others
-have no repeat of five words.
+more than longest_limit words, and if the base rules reject it. Only documents with a repeated window of min_repeat words, but five at most,
+enter the array: the others have no repeat that counts.
 
 A null text has no words and fails the base rules; so does an empty one. Very long texts are handled in one piece. Repeated rows are judged each for
 itself, an empty table gives none, and other columns don't matter.
@@ -86,6 +86,19 @@ def _sum_by(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _repeated(found: bytescan.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of windows of size words that occur more than once in their text, and those texts."""
+    at, counts = bytescan.windows(found, size)
+    text = np.repeat(np.arange(len(counts)), counts)
+    value = _salted(bytescan.window_hashes(found, at, size), text)
+    order = np.argsort(value)
+    same = value[order[1:]] == value[order[:-1]]
+    twice = np.zeros(len(at), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return at[twice], np.unique(text[twice])
+
+
 def measure(part: bytescan.Texts, min_repeat: int, covered_limit: float, longest_limit: int) -> list[np.ndarray]:
     found = bytescan.words(part, bytescan.WHITE)
     n_words, first = found.counts(), found.first
@@ -96,17 +109,11 @@ def measure(part: bytescan.Texts, min_repeat: int, covered_limit: float, longest
     for k in range(len(part)):
         lines = [x for x in part.bytes_of(k).split(b"\n") if x and not x.isspace()]
         dup_lines[k] = len(lines) - len(set(lines))
-    at, counts = bytescan.windows(found, BASE_WINDOW)
-    text = np.repeat(np.arange(len(part)), counts)
-    value = _salted(bytescan.window_hashes(found, at, BASE_WINDOW), text)
-    order = np.argsort(value)
-    same = value[order[1:]] == value[order[:-1]]
-    twice = np.zeros(len(at), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    n_repeat = _sum_by(bytescan.covered(len(found.starts), at[twice], BASE_WINDOW), first)
+    at, busy = _repeated(found, BASE_WINDOW)
+    n_repeat = _sum_by(bytescan.covered(len(found.starts), at, BASE_WINDOW), first)
     longest, fraction = np.zeros(len(part), np.int64), np.zeros(len(part))
-    busy = np.unique(text[twice])
+    if min_repeat < BASE_WINDOW:
+        _, busy = _repeated(found, max(1, min_repeat))
     if len(busy):
         pick = bytescan.ragged(first[busy], n_words[busy])
         owner = np.repeat(np.arange(len(busy)), n_words[busy])
