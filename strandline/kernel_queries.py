@@ -8,7 +8,7 @@ from strandline.functions import alignment, kmers
 from strandline.operators import intervals, seeds
 from strandline.plans import index as index_plan
 from strandline.plans import search as plan
-from strandline.queries import _CODE, _DNA, _GENOMES, _MASKS, _SPANS, _index, genomes, items, query, some_masks, spans, table
+from strandline.queries import _CODE, _DNA, _GENOMES, _MASKS, _SPANS, ORACLES, _index, genomes, items, query, some_masks, spans, table
 from strandline.sources import writers
 
 _TURNED = "translate(reverse(km), 'ACGT', 'TGCA')"
@@ -56,11 +56,17 @@ def sampled_kmers(spark, sf):
 
 
 @query(f"WITH {_GENOMES}, w AS (SELECT item_id, s AS start, substr(seq, s, 31) AS x FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 29, 31)) AS s FROM q)), gr AS (SELECT item_id, start, n, substr(x, i, n) AS gram FROM (SELECT *, unnest(range(1, 33 - n)) AS i FROM (SELECT *, unnest([2, 3]) AS n FROM w))), c AS (SELECT item_id, start, n, gram, count(*) AS times FROM gr GROUP BY ALL), t AS (SELECT item_id, start, count(*) FILTER (n = 2) AS k2, count(*) FILTER (n = 3) AS k3, max(times) FILTER (n = 2) AS m2, max(times) FILTER (n = 3) AS m3 FROM c GROUP BY ALL) SELECT item_id, start, k2 < 4 AND (m2 >= 14 OR (k3 < 8 AND m3 >= 9)) AS low FROM t")
-def low_complexity(spark, sf):
-    w = items(spark, sf).where(F.length("seq") >= 31).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 30, F.lit(31))).alias("start"))
+def low_complexity(spark, sf, stride=31):
+    w = items(spark, sf).where(F.length("seq") >= 31).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 30, F.lit(stride))).alias("start"))
     return w.select("item_id", F.col("start").cast("long"), kmers.monotonous(F.substring(F.col("seq"), F.col("start"), F.lit(31))).alias("low"))
 
 
+@query(ORACLES["low_complexity"].replace("length(seq) - 29, 31)", "length(seq) - 29)"))
+def low_complexity_all(spark, sf):
+    """low_complexity() of the window at every base."""
+    return low_complexity(spark, sf, 1)
+
+
 @query("SELECT l_orderkey, l_linenumber, round(0.1 * l_quantity * l_quantity, 6) AS weight, round(CASE WHEN g = 0 THEN 0 ELSE 0.1 * g + 0.5 * log2(g) END, 6) AS penalty FROM (SELECT *, CAST(l_orderkey % 7 AS DOUBLE) AS g FROM lineitem)")
 def seed_scores(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("g", (F.col("l_orderkey") % 7).cast("double"))

@@ -114,11 +114,17 @@ def kmer_lcp(spark, sf):
 
 
 @query(f"WITH {_GENOMES}, t AS (SELECT item_id, w, substr(seq, w + i, 3) AS g3 FROM (SELECT item_id, seq, w, unnest(range(0, 29)) AS i FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 29, 31)) AS w FROM q))), c AS (SELECT item_id, w, g3, count(*) AS n FROM t GROUP BY ALL) SELECT item_id, w AS start, CAST(sum(n * (n - 1) // 2) AS INTEGER) AS dust FROM c GROUP BY item_id, w")
-def dust_score(spark, sf):
-    w = items(spark, sf).where(F.length("seq") >= 31).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 30, F.lit(31))).alias("start"))
+def dust_score(spark, sf, stride=31):
+    w = items(spark, sf).where(F.length("seq") >= 31).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 30, F.lit(stride))).alias("start"))
     return w.select("item_id", F.col("start").cast("long"), kmers.dust(F.substring(F.col("seq"), F.col("start"), F.lit(31))).alias("dust"))
 
 
+@query(ORACLES["dust_score"].replace("length(seq) - 29, 31)", "length(seq) - 29)"))
+def dust_score_all(spark, sf):
+    """dust_score() of the window at every base."""
+    return dust_score(spark, sf, 1)
+
+
 @query("SELECT l_orderkey, l_linenumber, round((s * 0.625 - ln(0.41)) / ln(2), 6) AS bits FROM (SELECT *, r - ((r % 2) + 2) % 2 AS s FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 20 - l_linenumber * 3 - 2 * 5 - l_linenumber * 2 AS r FROM lineitem))")
 def bit_score_evalue(spark, sf):
     q = F.col("l_quantity").cast("long") * 10
