@@ -1,6 +1,6 @@
 """License scans: exact phrases, and fuzzy search for short license notices.
 
-A notice of n characters may differ by n // letters_per_edit edits, four at most. Cut into one piece more than that, at least one piece stands unchanged in every such
+A notice of n characters may differ by n // letters_per_edit edits. Cut into one piece more than that, at least one piece stands unchanged in every such
 occurrence (pigeonhole), so exact search for the pieces finds all places; there the regex library matches the whole notice with at most so many
 edits and reports span and edits. Notices and texts are compared as lower-cased words joined by one blank.
 
@@ -37,8 +37,8 @@ NOTICES = {
     "gnu lesser general public license": "lgpl",
     "subject to the terms of the mozilla public license": "mpl",
 }
-#: One edit for so many characters, and never more than MOST_EDITS: the matcher's work grows steeply with the bound.
-LETTERS_PER_EDIT, MOST_EDITS = 12, 4
+#: One edit for so many characters.
+LETTERS_PER_EDIT = 12
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ class Notice:
     @classmethod
     def of(cls, text: str, label: str, letters_per_edit: int) -> Notice:
         raw = text.encode()
-        edits = min(MOST_EDITS, len(raw) // letters_per_edit)
+        edits = len(raw) // letters_per_edit
         cuts = [len(raw) * k // (edits + 1) for k in range(edits + 2)]
         return cls(raw, label, edits, tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))
 
