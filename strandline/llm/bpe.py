@@ -90,7 +90,7 @@ class Vocabulary:
     """Tokens by id, with what encoding and decoding look up."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.classes = ranks, pretokens.rank_classes()
         tokens = sorted(ranks, key=ranks.get)
         self.ids = np.array([ranks[t] for t in tokens], np.int64)
         self.hashes = hash_tokens(tokens)
@@ -170,7 +170,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]):
         """The ids of all texts in turn, how many each has, and for each text its ids as decimal numbers joined by commas."""
-        pieces = pretokens.split(texts, glue_blanks=True)
+        pieces = pretokens.split(texts, glue_blanks=True, table=self.vocabulary.classes)
         hashes, at, number = pieces.unique()
         if len(self.texts) > self.memo.most:
             self._clear()

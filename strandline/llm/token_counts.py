@@ -116,9 +116,9 @@ def split_marks(symbols: np.ndarray) -> np.ndarray:
     return begins
 
 
-def split(texts: list[bytes]) -> pretokens.Pieces:
+def split(texts: list[bytes], table: np.ndarray) -> pretokens.Pieces:
     """Pre-tokens of normalized texts."""
-    data, kinds, begins = pretokens.classes(texts)
+    data, kinds, begins = pretokens.classes(texts, table)
     symbols = _BY_CLASS[kinds]
     letter = np.flatnonzero((kinds == pretokens.LETTER) & (data < 128))
     symbols[letter] = _ASCII[data[letter]]
@@ -131,19 +131,12 @@ def split(texts: list[bytes]) -> pretokens.Pieces:
     return pretokens.Pieces(data, starts, edges[1:][token], np.searchsorted(starts, np.append(begins, len(data))))
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class Counter:
     """The counting transducer of a BPE vocabulary whose last symbol carries a word end."""
 
     def __init__(self, content: str, most_states: int = 400_000):
         model = json.loads(content)["model"]
-        end, letters = model["end_of_word_suffix"], byte_letters()
+        end, letters = model["end_of_word_suffix"], pretokens.byte_letters()
         vocab = model["vocab"]
 
         def symbols(token: str) -> tuple[int, ...]:
@@ -242,9 +235,10 @@ class Counter:
 class Texts:
     """Counts batches; one for each Python worker."""
 
-    def __init__(self, content: str):
-        self.counter, self.memo = Counter(content), pretokens.Memo()
-        self.specials = re.compile("|".join(re.escape(t["content"]) for t in json.loads(content)["added_tokens"]) or r"(?!)")
+    def __init__(self, rules: pretokens.WordRules):
+        self.counter, self.memo = Counter(rules.content), pretokens.Memo()
+        self.classes, self.normalize = rules.classes, rules.normalizer()
+        self.specials = re.compile("|".join(re.escape(t["content"]) for t in json.loads(rules.content)["added_tokens"]) or r"(?!)")
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         special = np.zeros(len(texts), np.int64)
@@ -253,9 +247,9 @@ class Texts:
             text = raw.decode()
             parts = self.specials.split(text) if b"<|" in raw else [text]
             special[k] = len(parts) - 1
-            plain += [pretokens.normalize(p).encode() for p in parts]
+            plain += [self.normalize(p).encode() for p in parts]
             owner += [k] * len(parts)
-        pieces = split(plain)
+        pieces = split(plain, self.classes)
         hashes, at, number = pieces.unique()
         if len(self.memo.slots) > self.memo.most:
             self.memo.slots.clear()
@@ -274,7 +268,7 @@ _WORKER: dict[int, Texts] = {}
 
 def _count(batches, shared, limit):
     for batch in batches:
-        key = hash(shared.value)
+        key = hash(shared.value.content)
         if key not in _WORKER:
             _WORKER.clear()
             _WORKER[key] = Texts(shared.value)
@@ -289,8 +283,7 @@ def _count(batches, shared, limit):
 
 def counts(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT) -> DataFrame:
     """Of documents (doc_id, text): doc_id, n_bytes, n_tokens, over_limit. tokenizer_file: a word-ended BPE vocabulary (.json)."""
-    with open(tokenizer_file, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    shared = docs.sparkSession.sparkContext.broadcast(pretokens.WordRules.read(tokenizer_file))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda b: _count(b, shared, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 

@@ -60,11 +60,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Tokenizer:
     """Encodes batches as the library does; one for each Python worker."""
 
-    def __init__(self, content: str):
+    def __init__(self, rules: pretokens.WordRules):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_str(content)
+        self.library, self.classes, self.normalize = Library.from_str(rules.content), rules.classes, rules.normalizer()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = pretokens.Memo()
         self._clear()
@@ -81,9 +81,9 @@ class Tokenizer:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each has."""
-        plain = [pretokens.normalize(t.decode()).encode() for t in texts]
+        plain = [self.normalize(t.decode()).encode() for t in texts]
         odd = {k for k, t in enumerate(texts) if b"<|" in t and any(s.encode() in t for s in self.specials)}
-        pieces = pretokens.split([b"" if k in odd else t for k, t in enumerate(plain)], glue_blanks=False)
+        pieces = pretokens.split([b"" if k in odd else t for k, t in enumerate(plain)], glue_blanks=False, table=self.classes)
         hashes, at, number = pieces.unique()
         if len(self.counts) > self.memo.most:
             self._clear()
@@ -108,7 +108,7 @@ _TOKENIZERS: dict[int, Tokenizer] = {}
 
 
 def _tokenizer(shared) -> Tokenizer:
-    key = hash(shared.value)
+    key = hash(shared.value.content)
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
         _TOKENIZERS[key] = Tokenizer(shared.value)
@@ -177,8 +177,7 @@ def _blocks(batches, shared):
 def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = END_ID) -> np.ndarray:
     """Write the file set of documents (doc_id, text) to path. Returns the id of each frequency rank, which readers need (ranks() has it from a file set)."""
     spark = docs.sparkSession
-    with open(tokenizer_file, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+    shared = spark.sparkContext.broadcast(pretokens.WordRules.read(tokenizer_file))
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = materialize(docs.select("doc_id", "text").mapInArrow(lambda b: _tokenize(b, shared, end_id), f"doc_id {kind}, ids binary, width tinyint"), "token-ids")
     counted = tokens.select("ids", "width").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
