@@ -13,6 +13,7 @@ documents with equal doc_id come in no certain order. An empty table gives an em
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -31,6 +32,8 @@ BLOCK_IDS = 1 << 18
 SHARD_IDS = 8_000_000
 FILE_SCHEMA = "shard int, block int, ids_before long, doc_ids array<{kind}>, doc_counts binary, control binary, data binary"
 
+#: The printable character that byte-level vocabularies write for each byte; line feeds, which pre-tokens don't have, stay.
+LETTERS = {b: c for c, b in pretokens.byte_letters().items() if b != 0x0A}
 #: Lengths of the four ids of a control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -64,7 +67,14 @@ class Tokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
+        from tokenizers import pre_tokenizers
+
         self.library, self.classes, self.normalize = Library.from_str(rules.content), rules.classes, rules.normalizer()
+        suffix = json.loads(rules.content)["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends_word[[k for token, k in self.library.get_vocab().items() if token.endswith(suffix)]] = True
+        self.words = Library(self.library.model)  # for text that is normalized, split and in byte letters
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = pretokens.Memo()
         self._clear()
@@ -73,11 +83,17 @@ class Tokenizer:
         self.memo.slots.clear()
         self.flat, self.starts, self.counts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _add(self, lists: list[list[int]]):
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(counts) - counts))
+    def _learn(self, words: list[bytes]):
+        """Add the ids of pre-tokens: the library gets them as one text with line feeds between, and a token that ends a word ends its ids."""
+        text = b"\n".join(words).decode("latin-1").translate(LETTERS)
+        ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(words):
+            raise ValueError("a pre-token has no token that ends a word")
+        counts = np.diff(stops, prepend=0)
+        self.starts = np.concatenate((self.starts, len(self.flat) + stops - counts))
         self.counts = np.concatenate((self.counts, counts))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))))
+        self.flat = np.concatenate((self.flat, ids))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each has."""
@@ -90,8 +106,8 @@ class Tokenizer:
         slots, new = self.memo.find(hashes)
         if len(new):
             base = len(self.counts)
-            words = [pieces.data[s:e].tobytes().decode() for s, e in zip(pieces.starts[at[new]].tolist(), pieces.ends[at[new]].tolist(), strict=True)]
-            self._add([e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)])
+            raw = pieces.data.tobytes()
+            self._learn([raw[s:e] for s, e in zip(pieces.starts[at[new]].tolist(), pieces.ends[at[new]].tolist(), strict=True)])
             slots[new] = base + np.arange(len(new))
             self.memo.slots.update(zip(hashes[new].tolist(), range(base, base + len(new)), strict=True))
         own = slots[number]
