@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import bytescan, pretokens
@@ -30,7 +30,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 18
 #: Ids that one sorting task holds.
 SHARD_IDS = 8_000_000
-FILE_SCHEMA = "shard int, block int, ids_before long, doc_ids array<{kind}>, doc_counts binary, control binary, data binary"
+FILE_SCHEMA = "shard int, block int, ids_before long, n_ids long, doc_ids array<{kind}>, doc_counts binary, control binary, data binary"
 
 #: The printable character that byte-level vocabularies write for each byte; line feeds, which pre-tokens don't have, stay.
 LETTERS = {b: c for c, b in pretokens.byte_letters().items() if b != 0x0A}
@@ -173,7 +173,7 @@ def _blocks(batches, shared):
         nonlocal block, before, held, names
         control, data = pack(rank[np.concatenate(held)])
         counts = np.fromiter(map(len, held), "<u4", len(held))
-        out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([[n.as_py() for n in names]], pa.list_(names[0].type)), pa.array([counts.tobytes()]), pa.array([control]), pa.array([data])], ["shard", "block", "ids_before", "doc_ids", "doc_counts", "control", "data"])
+        out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([int(counts.sum())]), pa.array([[n.as_py() for n in names]], pa.list_(names[0].type)), pa.array([counts.tobytes()]), pa.array([control]), pa.array([data])], ["shard", "block", "ids_before", "n_ids", "doc_ids", "doc_counts", "control", "data"])
         block, before, held, names = block + 1, before + int(counts.sum()), [], []
         return out
 
@@ -215,13 +215,13 @@ def ranks(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def _documents(batches, shared):
-    by_rank, base = shared.value
+    by_rank = shared.value
     for batch in batches:
         for row in batch.to_pylist():
             counts = np.frombuffer(row["doc_counts"], "<u4").astype(np.int64)
             ids = by_rank[unpack(row["control"], row["data"], int(counts.sum()))]
             ends = np.cumsum(counts)
-            starts = base[row["shard"]] + row["ids_before"] + ends - counts
+            starts = row["base"] + row["ids_before"] + ends - counts
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(starts), _binary(ids.astype("<u4"), counts)], ["doc_id", "start", "ids"])
 
 
@@ -229,14 +229,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids as little-endian unsigned 32-bit integers) of a file set."""
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
-    last = blocks.groupBy("shard").agg(F.max(F.struct("block", "ids_before", "doc_counts")).alias("x")).collect()  # a row for each shard
-    total = {r["shard"]: r["x"]["ids_before"] + int(np.frombuffer(r["x"]["doc_counts"], "<u4").sum(dtype=np.int64)) for r in last}
-    base, so_far = {}, 0
-    for shard in sorted(total):
-        base[shard] = so_far
-        so_far += total[shard]
-    shared = spark.sparkContext.broadcast((ranks(spark, path), base))
-    return blocks.mapInArrow(lambda b: _documents(b, shared), f"doc_id {kind}, start long, ids binary")
+    # A row for each shard of SHARD_IDS ids: the ids of all shards before it. Shards are numbered in the order of doc_id.
+    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    shared = spark.sparkContext.broadcast(ranks(spark, path))
+    return blocks.join(bases, "shard").mapInArrow(lambda b: _documents(b, shared), f"doc_id {kind}, start long, ids binary")
 
 
 def _checks(batches):
