@@ -14,23 +14,23 @@ import pyarrow as pa
 #: Bytes of text that one numpy step works on; arrays of eight bytes a character stay small.
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of two independent families of fingerprints.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF93)
 #: A random value for each byte: no two texts that differ in a regular way (case, say) get related fingerprints.
 BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
+    if len(_powers[family][0]) < n:
         size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
+        for k, base in enumerate((_BASES[family], pow(_BASES[family], -1, 1 << 64))):
             table = np.full(size, base, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0][:n], _powers[1][:n]
+            _powers[family][k] = np.multiply.accumulate(table)
+    return _powers[family][0][:n], _powers[family][1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,19 +43,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def rolling_prefix(values: np.ndarray) -> np.ndarray:
+def rolling_prefix(values: np.ndarray, family: int = 0) -> np.ndarray:
     """Prefix sums from which span_hash() gives the Rabin-Karp value of any span."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    np.cumsum(values * powers(len(values), family)[0], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """64-bit fingerprints of values[starts:ends]; equal spans have equal fingerprints, wherever they stand."""
-    inverse = powers(len(prefix))[1]
+    inverse = powers(len(prefix), family)[1]
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_values(data: np.ndarray) -> np.ndarray:
+    """A value for each run of eight bytes, by its first byte. Fingerprints over them don't share the regularities of those over single bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return mix(np.ndarray((len(data),), "<u8", padded, strides=(1,)).astype(np.uint64))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes starts[0], starts[0]+1, ... of each span in turn."""
     total = int(lengths.sum())
@@ -151,9 +158,9 @@ def windows(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ragged(found.first[:-1], counts), counts
 
 
-def window_hashes(found: Words, at: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(found: Words, at: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """Rabin-Karp fingerprints of the windows of size words that begin with the words at."""
-    return span_hash(rolling_prefix(found.hashes), at, at + size)
+    return span_hash(rolling_prefix(found.hashes, family), at, at + size, family)
 
 
 def covered(n: int, at: np.ndarray, size: int) -> np.ndarray:

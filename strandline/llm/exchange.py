@@ -1,189 +1,223 @@
-"""Which of very many fingerprints occur twice or more, counted over all documents in Spark tasks.
+"""Which of very many strings occur twice or more, found over all documents in Spark tasks.
 
-A row of the exchange is a block: the fingerprints of one batch of documents that fall into one bucket, seven bytes each, with the number that each
-document has. Equal fingerprints share a bucket, so a task counts its buckets by itself; nothing is gathered by document, source or text, and a
-fingerprint that a third of all documents share costs seven bytes for each of its places in one of many buckets. A bucket holds about bucket_bytes
-of text however large the corpus is, since the number of buckets follows the corpus. The answers travel back likewise, packed by groups of documents.
+Documents are first packed into groups of about group_bytes of text, a row each, in the shared folder; a group has a number of its own, so nothing depends on ids
+or texts being distinct. Every step reads groups, and the answers go back to groups.
 
-A document is named by key_column(), a 64-bit hash of its id and text. Rows with equal id and text share a key and have equal fingerprints, hence
-equal answers. A fingerprint has 64 bits: seven bytes are sent, and the bucket follows from the top ones. Two unequal spans are thus taken for equal with
-probability 2**-64 a pair from 256 buckets on, and 2**-(56 + log2(buckets)) below that.
+A map task reduces the strings of a group to distinct ones, each sent once however often the group has it; those that a group has twice need no answer. So
+a string that a third of all documents share costs one entry a group, not one a document. An entry has a 64-bit fingerprint, which orders it, and 32 more
+bits of an independent one, without which it is not taken for equal. Blocks hold the entries of a bucket, a range of fingerprints. A bucket gets about
+bucket_bytes of text however large the corpus is; a task sorts several of them, one at a time, so its memory follows the bucket. The answer to a group
+lists the numbers of those of its distinct strings that other groups have too.
+
+Two unequal strings are taken for equal with probability 2**-96 a pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from strandline.llm import bytescan
+from strandline.llm.storage import materialize
 
-BLOCK_SCHEMA = "bucket int, doc_keys binary, doc_counts binary, hashes binary"
-FLAG_SCHEMA = "part int, bucket int, doc_keys binary, doc_counts binary, places binary"
-KEY = "strandline_key"
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Buckets that one task sorts one after another, and groups whose entries are dealt into blocks together.
+TASK_BUCKETS, BLOCK_GROUPS = 8, 16
+BLOCK_SCHEMA = "bucket int, groups binary, counts binary, firsts binary, hashes binary, checks binary"
+ANSWER_SCHEMA = "part int, groups binary, counts binary, numbers binary"
 
+#: Of a group's texts: fingerprints and checks of its strings, in text order.
+Kernel = Callable[..., tuple[np.ndarray, np.ndarray]]
 
-def key_column(text: str = "text", *ids: str) -> Column:
-    return F.xxhash64(*[F.col(c) for c in ids], F.col(text))
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+# ---- groups
+
+
+def _pack(batches, group_bytes: int):
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def flush():
+        nonlocal number, held, size
+        rows = pa.concat_arrays(held)
+        out = pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["grp", "rows"])
+        number, held, size = number + 1, [], 0
+        return out
+
+    for batch in batches:
+        rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+        for part in bytescan.texts(batch.column("text"), group_bytes // 4):
+            held.append(rows.slice(part.rows.start, len(part)))
+            size += len(part.data)
+            if size >= group_bytes:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def packed(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(grp, rows): documents in groups, in the shared folder. docs has a column text; a text beyond group_bytes has a group of its own."""
+    schema = StructType([StructField("grp", LongType()), StructField("rows", ArrayType(docs.schema))])
+    return materialize(docs.mapInArrow(partial(_pack, group_bytes=group_bytes), schema), "groups")
+
+
+def rows_of(batch: pa.RecordBatch, k: int) -> pa.StructArray:
+    """The documents of the k-th group of a batch of groups."""
+    return batch.column("rows").slice(k, 1).flatten()
 
 
-def text_bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+# ---- strings that occur twice
 
 
-def bucket_count(total_bytes: int, bucket_bytes: int = 12 << 20, least: int = 8) -> int:
-    return max(least, -(-total_bytes // bucket_bytes))
+class Distinct:
+    """The strings of a group made distinct: their fingerprints in order, and which of them the group has twice."""
 
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray):
+        order = np.argsort(hashes)
+        new = self._edges(hashes[order], checks[order])
+        if new is None:
+            order = np.lexsort((checks, hashes))
+            ranked, more = hashes[order], checks[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (ranked[1:] != ranked[:-1]) | (more[1:] != more[:-1])
+        self.order, first = order, np.flatnonzero(new)
+        self.hashes, self.checks = hashes[order[first]], checks[order[first]]
+        self.sizes = np.diff(np.append(first, len(order)))
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    @staticmethod
+    def _edges(ranked: np.ndarray, more: np.ndarray) -> np.ndarray | None:
+        """Where another string begins, or None if two with equal fingerprints differ."""
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        return None if (more[1:] != more[:-1])[~new[1:]].any() else new
+
+    def twice(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """Which of the group's strings, in text order, occur twice. numbers: of distinct strings that other groups have too."""
+        found = self.sizes > 1
+        for x in numbers:
+            found[x] = True
+        out = np.empty(len(self.order), bool)
+        out[self.order] = np.repeat(found, self.sizes)
+        return out
+
+
+def answers(value) -> list[np.ndarray]:
+    """The numbers in a value of repeated(), or in a list of them; none for null."""
+    return [np.frombuffer(x, "<u4") for x in ([value] if isinstance(value, bytes) else value or ())]
+
+
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges, so they ascend with the fingerprints."""
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def blocks(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Blocks of a batch. counts: how many of the hashes, which stand in document order, each document has."""
-    doc = np.repeat(np.arange(len(keys)), counts)
-    bucket = bucket_of(hashes, buckets)
-    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    bucket, doc, hashes = bucket[order], doc[order], hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
-    run = np.flatnonzero(new)
-    run_counts = np.diff(np.append(run, len(order))).astype(np.uint32)
-    run_keys, run_bucket = keys[doc[run]], bucket[run]
-    low = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
-    present = np.unique(run_bucket)
-    edges = np.append(np.searchsorted(run_bucket, present), len(run))
-    rows = [(int(b), run_keys[i:j].tobytes(), run_counts[i:j].tobytes(), low[run[i] : run[j] if j < len(run) else len(order)].tobytes()) for b, i, j in zip(present, edges[:-1], edges[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["bucket", "doc_keys", "doc_counts", "hashes"])
-
-
-def _repeated(batches, groups: int):
-    """Of a partition's blocks: the places (by number among a document's fingerprints in the bucket) of fingerprints that occur more than once."""
-    held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+def _entries(batches, kernel: Kernel, columns: list[str], buckets: int, share: tuple[int, int]):
+    held: list[tuple] = []
+
+    def flush():
+        group = np.repeat(np.arange(len(held)), [len(x[1]) for x in held])
+        number = np.concatenate([x[1] for x in held])
+        hashes, checks = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+        bucket = _bucket_of(hashes, buckets)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        bucket, group, number, hashes, checks = bucket[order], group[order], number[order], hashes[order], checks[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1])
+        run = np.flatnonzero(new)
+        sizes = np.diff(np.append(run, len(order))).astype("<u4")
+        names, firsts = np.array([x[0] for x in held], "<i8")[group[run]], number[run].astype("<u4")
+        present, begin = np.unique(bucket[run], return_index=True)
+        edges, ends = np.append(begin, len(run)), np.append(run, len(order))
+        rows = [(int(b), names[i:j].tobytes(), sizes[i:j].tobytes(), firsts[i:j].tobytes(), hashes[ends[i] : ends[j]].tobytes(), checks[ends[i] : ends[j]].tobytes()) for b, i, j in zip(present, edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], ["bucket", "groups", "counts", "firsts", "hashes", "checks"])
+
     for batch in batches:
-        for b, k, c, h in zip(*(batch.column(i) for i in range(4)), strict=True):
-            held.setdefault(b.as_py(), []).append((k.as_py(), c.as_py(), h.as_py()))
-    for b in list(held):
-        rows = held.pop(b)
-        keys = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
-        counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint32).astype(np.int64)
-        raw = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, 7)
+        for k in range(batch.num_rows):
+            strings = Distinct(*kernel(rows_of(batch, k).field("text"), *(batch.column(c)[k].as_py() for c in columns)))
+            number = np.arange(len(strings.hashes))
+            own = _bucket_of(strings.hashes, buckets) % share[1] == share[0]
+            if own.any():
+                held.append((batch.column("grp")[k].as_py(), number[own], strings.hashes[own].astype("<u8"), strings.checks[own].astype("<u4")))
+            if len(held) == BLOCK_GROUPS:
+                yield flush()
+                held = []
+    if held:
+        yield flush()
+
+
+def _bucketwise(batches) -> Iterator[tuple[int, list]]:
+    """The rows of one bucket after the other."""
+    rows = ((batch, k) for batch in batches for k in range(batch.num_rows))
+    for bucket, own in groupby(rows, lambda x: x[0].column(0)[x[1]].as_py()):
+        yield bucket, [tuple(batch.column(c)[k].as_py() for c in range(1, 6)) for batch, k in own]
+
+
+def _shared(batches, parts: int):
+    """The entries of each bucket that several groups have, told to these groups."""
+    for _, rows in _bucketwise(batches):
+        names, counts, firsts, hashes, checks = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<i8", "<u4", "<u4", "<u8", "<u4")))
         del rows
-        values = np.zeros((len(raw), 8), np.uint8)
-        values[:, :7] = raw
-        values = values.view("<u8").ravel()
-        order = np.argsort(values)
-        ranked = values[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(order), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        flag = np.zeros(len(order), bool)
-        flag[order[twice]] = True
-        begins = np.cumsum(counts) - counts
-        at = np.flatnonzero(flag)
+        order = np.argsort(hashes)
+        if Distinct._edges(hashes[order], checks[order]) is None:
+            order = np.lexsort((checks, hashes))
+        ranked, more = hashes[order], checks[order]
+        same = (ranked[1:] == ranked[:-1]) & (more[1:] == more[:-1])
+        several = np.zeros(len(order), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        at = np.sort(order[several])
         if not len(at):
             continue
+        counts = counts.astype(np.int64)
+        begins = np.cumsum(counts) - counts
         run = np.searchsorted(begins, at, side="right") - 1
-        new = np.ones(len(at), bool)
-        new[1:] = run[1:] != run[:-1]
+        names, numbers = names[run], (at - begins[run] + firsts[run]).astype("<u4")
+        part = (bytescan.mix(names.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((names, part))
+        names, numbers, part = names[order], numbers[order], part[order]
+        new = np.ones(len(order), bool)
+        new[1:] = names[1:] != names[:-1]
         first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(at)))
-        owners, places = keys[run[first]], (at - begins[run]).astype("<u4")
-        group = (bytescan.mix(owners.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        owners, sizes, first, group = owners[order], sizes[order], first[order], group[order]
-        places = places[bytescan.ragged(first, sizes)]
-        present = np.unique(group)
-        edges = np.append(np.searchsorted(group, present), len(group))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        rows = [(owners[i:j].tobytes(), sizes[i:j].astype("<u4").tobytes(), places[ends[i] : ends[j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array(np.full(len(rows), b, np.int32)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["part", "bucket", "doc_keys", "doc_counts", "places"])
+        sizes = np.diff(np.append(first, len(order))).astype("<u4")
+        present, begin = np.unique(part[first], return_index=True)
+        edges, ends = np.append(begin, len(first)), np.append(first, len(order))
+        out = [(names[first[i:j]].tobytes(), sizes[i:j].tobytes(), numbers[ends[i] : ends[j]].tobytes()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *(pa.array([r[k] for r in out], pa.binary()) for k in range(3))], ["part", "groups", "counts", "numbers"])
 
 
 def _merged(batches):
-    """Of a partition's flags: all that belongs to a document in one value: the number of its buckets, the buckets, how many places each has, the places."""
-    rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)]
-    if not rows:
-        return
-    keys = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
-    sizes = np.frombuffer(b"".join(r[2] for r in rows), "<u4").astype(np.int64)
-    places = np.frombuffer(b"".join(r[3] for r in rows), "<u4")
-    bucket = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 8 for r in rows])
-    order = np.lexsort((bucket, keys))
-    starts = (np.cumsum(sizes) - sizes)[order]
-    keys, sizes, bucket = keys[order], sizes[order], bucket[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = np.flatnonzero(new)
-    records = np.diff(np.append(first, len(keys)))
-    totals = np.add.reduceat(sizes, first)
-    length = 1 + 2 * records + totals
-    begin = np.cumsum(length) - length
-    out = np.empty(int(length.sum()), "<u4")
-    out[begin] = records
-    out[bytescan.ragged(begin + 1, records)] = bucket
-    out[bytescan.ragged(begin + 1 + records, records)] = sizes
-    out[bytescan.ragged(begin + 1 + 2 * records, totals)] = places[bytescan.ragged(starts, sizes)]
-    step = max(1, len(first) // max(1, len(out) * 4 >> 26))
-    for k in range(0, len(first), step):
-        low, high = begin[k], begin[k + step] if k + step < len(begin) else len(out)
-        offsets = (np.append(begin[k : k + step], high) - low) * 4
-        values = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out[low:high].tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(keys[first[k : k + step]]), values], ["key", "flags"])
-
-
-def _dealt(df: DataFrame, column: str, n: int) -> DataFrame:
-    """One value of column (0 to n - 1) to a partition."""
-    slot = F.element_at(F.array(*[F.lit(v) for v in _slots(n)]), F.col(column) + 1) if n <= 4096 else F.col(column)
-    return df.withColumn("slot", slot).repartition(n, "slot").drop("slot")
-
-
-def repeated(block_rows: DataFrame, buckets: int) -> DataFrame:
-    """(key, flags) of every document that has a repeated fingerprint; flagged() reads flags."""
-    flags = _dealt(block_rows, "bucket", buckets).mapInArrow(partial(_repeated, groups=buckets), FLAG_SCHEMA)
-    return _dealt(flags, "part", buckets).mapInArrow(_merged, "key long, flags binary")
-
-
-def _slots(n: int) -> list[int]:
-    """For each bucket a number that Spark's hash partitioning puts into the partition of that bucket."""
-    found: dict[int, int] = {}
-    value = 0
-    while len(found) < n:
-        found.setdefault(_murmur3_int(value) % n, value)
-        value += 1
-    return [found[k] for k in range(n)]
-
-
-def _murmur3_int(value: int, seed: int = 42) -> int:
-    """Spark's hash() of an int, as a signed number."""
-    m = 0xFFFFFFFF
-    k = value * 0xCC9E2D51 & m
-    k = ((k << 15 | k >> 17) & m) * 0x1B873593 & m
-    h = seed ^ k
-    h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
-    h ^= 4
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-def flagged(hashes: np.ndarray, counts: np.ndarray, flags: list, buckets: int) -> np.ndarray:
-    """Which of a batch's hashes occur twice, from the flags of each document: None or a list of values of repeated()."""
-    out = np.zeros(len(hashes), bool)
-    begins = np.cumsum(counts) - counts
-    for k, values in enumerate(flags):
-        if values:
-            bucket = bucket_of(hashes[begins[k] : begins[k] + counts[k]], buckets)
-            order = np.argsort(bucket, kind="stable")
-            ranked = bucket[order]
-            for value in values:
-                raw = np.frombuffer(value, "<u4").astype(np.int64)
-                n = int(raw[0])
-                first = np.searchsorted(ranked, raw[1 : 1 + n])
-                out[begins[k] + order[np.repeat(first, raw[1 + n : 1 + 2 * n]) + raw[1 + 2 * n :]]] = True
-    return out
+    """Of a partition's answers: all that goes to a group in one value."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for names, counts, numbers in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+            ends = np.cumsum(np.frombuffer(counts, "<u4").astype(np.int64)) * 4
+            for name, a, b in zip(np.frombuffer(names, "<i8").tolist(), (ends - 4 * np.frombuffer(counts, "<u4")).tolist(), ends.tolist(), strict=True):
+                held.setdefault(name, []).append(numbers[a:b])
+    for name, x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(x)], pa.binary())], ["grp", "numbers"])
+
+
+def repeated(groups: DataFrame, kernel: Kernel, total: int, columns: list[str] | None = None, share: tuple[int, int] = (0, 1), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(grp, numbers) of every group with a string that another group has too; Distinct.twice() reads numbers. kernel gets a group's texts and its columns; total: bytes
+    of all texts; share: (k, n) looks at the k-th of n shares of the buckets."""
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(-(-total // bucket_bytes), tasks * share[1])
+    parts = max(tasks, -(-buckets // (TASK_BUCKETS * share[1])))
+    blocks = groups.select("grp", "rows", *(columns or [])).mapInArrow(partial(_entries, kernel=kernel, columns=columns or [], buckets=buckets, share=share), BLOCK_SCHEMA)
+    own = blocks.repartitionById(parts, (F.col("bucket") / share[1]).cast("int") % parts).sortWithinPartitions("bucket")
+    return own.mapInArrow(partial(_shared, parts=parts), ANSWER_SCHEMA).repartitionById(parts, F.col("part")).mapInArrow(_merged, "grp long, numbers binary")
+
+
+def key_column(text: str = "text", *ids: str) -> Column:
+    return F.xxhash64(*[F.col(c) for c in ids], F.col(text))

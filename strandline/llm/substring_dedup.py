@@ -1,10 +1,11 @@
 """Substring dedup: remove every word in a window of words that occurs more than once in the corpus.
 
-Rabin-Karp fingerprints of all windows of window_words words go to exchange.repeated(), which counts each of them over all documents; the places of
-repeated windows merge into maximal removal intervals.
+Rabin-Karp fingerprints of all windows of window_words words go to exchange.repeated(), which finds those that occur twice, by two independent fingerprints; the
+places of repeated windows merge into maximal removal intervals.
 
-Nulls and texts without a word have no window. Rows that are repeated whole count as occurrences of each other. Other columns are left alone: the
-operator uses columns of its own names only inside, and joins by a hash of id and text. Very long texts are handled in one piece by one task.
+Nulls and texts without a word have no window. Rows that are repeated whole, with or without doc_id, count as occurrences of each other. Other columns are left
+alone, whatever their names: documents travel as rows within groups. Very long texts are handled in one piece by one task. Ties don't arise: all occurrences go. An
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -15,49 +16,53 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strandline.llm import bytescan, exchange
 
 WINDOW_WORDS = 35
 
 
-def _window_blocks(batches, size: int, buckets: int):
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for part in bytescan.texts(batch.column(1)):
-            found = bytescan.words(part, bytescan.WHITE)
-            at, counts = bytescan.windows(found, size)
-            if len(at):
-                yield exchange.blocks(keys[part.rows], counts, bytescan.window_hashes(found, at, size), buckets)
+def _windows(part: bytescan.Texts, size: int):
+    """The words of a slice, the first word of each window, fingerprints and checks of the windows."""
+    found = bytescan.words(part, bytescan.WHITE)
+    at, _ = bytescan.windows(found, size)
+    if not len(at):
+        return found, at, np.empty(0, np.uint64), np.empty(0, np.uint32)
+    hashes = bytescan.window_hashes(found, at, size)
+    other = bytescan.span_hash(bytescan.rolling_prefix(bytescan.BYTE_VALUES[part.data], 1), found.starts, found.ends, 1)
+    checks = bytescan.span_hash(bytescan.rolling_prefix(other, 1), at, at + size, 1)
+    return found, at, hashes, checks.astype(np.uint32)
 
 
-def repeated_windows(docs: DataFrame, size: int, buckets: int) -> DataFrame:
-    keyed = docs.select(exchange.key_column("text", "doc_id").alias("key"), "text")
-    return exchange.repeated(keyed.mapInArrow(partial(_window_blocks, size=size, buckets=buckets), exchange.BLOCK_SCHEMA), buckets)
+def _strings(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_windows(part, size)[2:] for part in bytescan.texts(texts)]
+    return np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)]), np.concatenate([np.empty(0, np.uint32), *(p[1] for p in parts)])
 
 
-def _marked(column, flags, size: int, buckets: int):
-    """For slices of a batch: the texts, their words, and which words go."""
-    for part in bytescan.texts(column):
+def _marked(texts: pa.Array, numbers, size: int):
+    """For slices of a group's texts: the texts, their words, and which words go."""
+    twice, so_far = exchange.Distinct(*_strings(texts, size)).twice(exchange.answers(numbers)), 0
+    for part in bytescan.texts(texts):
         found = bytescan.words(part, bytescan.WHITE)
-        mine = flags[part.rows]
-        gone = np.zeros(len(found.starts), bool)
-        if any(mine):
-            at, counts = bytescan.windows(found, size)
-            twice = exchange.flagged(bytescan.window_hashes(found, at, size), counts, mine, buckets)
-            gone = bytescan.covered(len(found.starts), at[twice], size)
-        yield part, found, gone
+        at, _ = bytescan.windows(found, size)
+        yield part, found, bytescan.covered(len(found.starts), at[twice[so_far : so_far + len(at)]], size)
+        so_far += len(at)
 
 
-def _digest(batches, size: int, buckets: int):
+def _groups(batches):
+    """(documents, numbers) of each group."""
     for batch in batches:
-        flags = [x and [x] for x in batch.column("strandline_flags").to_pylist()]
+        for k in range(batch.num_rows):
+            yield exchange.rows_of(batch, k), batch.column("numbers")[k].as_py()
+
+
+def _digest(batches, size: int):
+    for rows, numbers in _groups(batches):
         n_words, n_removed, digests = [], [], []
-        for part, found, gone in _marked(batch.column("text"), flags, size, buckets):
+        for part, found, gone in _marked(rows.field("text"), numbers, size):
             first = found.first
-            removed = np.add.reduceat(np.append(gone, False).astype(np.int64), first[:-1]) if len(first) > 1 else np.empty(0, np.int64)
-            removed[np.diff(first) == 0] = 0
+            before = np.concatenate(([0], np.cumsum(gone)))
+            removed = before[first[1:]] - before[first[:-1]]
             n_words.append(np.diff(first))
             n_removed.append(removed)
             for k in range(len(part)):
@@ -65,15 +70,13 @@ def _digest(batches, size: int, buckets: int):
                 if removed[k]:
                     kept = [w for w, g in zip(kept, gone[first[k] : first[k + 1]].tolist(), strict=True) if not g]
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        if digests:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([rows.field("doc_id"), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_removed)), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _rewrite(batches, size: int, buckets: int):
-    for batch in batches:
-        flags = [x and [x] for x in batch.column("strandline_flags").to_pylist()]
+def _rewrite(batches, size: int):
+    for rows, numbers in _groups(batches):
         out = []
-        for part, found, gone in _marked(batch.column("text"), flags, size, buckets):
+        for part, found, gone in _marked(rows.field("text"), numbers, size):
             for k in range(len(part)):
                 low, high = found.first[k], found.first[k + 1]
                 if gone[low:high].any():
@@ -84,31 +87,30 @@ def _rewrite(batches, size: int, buckets: int):
                     out.append(part.data[part.starts[k] : part.ends[k]][keep].tobytes().decode())
                 else:
                     out.append(None)
-        text = batch.column("text").to_pylist()
+        text = rows.field("text").to_pylist()
         fresh = pa.array([t if o is None else o for t, o in zip(text, out, strict=True)], pa.string())
-        names = [n for n in batch.schema.names if n != "strandline_flags"]
-        yield pa.RecordBatch.from_arrays([fresh if n == "text" else batch.column(n) for n in names], names)
+        names = [f.name for f in rows.type]
+        yield pa.RecordBatch.from_arrays([fresh if n == "text" else rows.field(k) for k, n in enumerate(names)], names)
 
 
-def _with_flags(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
-    buckets = exchange.bucket_count(exchange.text_bytes(docs))
-    flags = repeated_windows(docs, size, buckets).select(F.col("key").alias(exchange.KEY), F.col("flags").alias("strandline_flags"))
-    keyed = docs.withColumn(exchange.KEY, exchange.key_column("text", "doc_id"))
-    return keyed.join(flags.hint("shuffle_hash"), exchange.KEY, "left").drop(exchange.KEY), buckets
+def _answered(docs: DataFrame, size: int, bucket_bytes: int) -> DataFrame:
+    """Groups of documents with the numbers of their repeated windows."""
+    total = exchange.text_bytes(docs)
+    groups = exchange.packed(docs)
+    numbers = exchange.repeated(groups, partial(_strings, size=size), total, bucket_bytes=bucket_bytes)
+    return groups.join(numbers.hint("shuffle_hash"), "grp", "left")
 
 
-def removals(docs: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """Of documents (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space). An empty table gives none."""
-    joined, buckets = _with_flags(docs.select("doc_id", "text"), window_words)
+def removals(docs: DataFrame, window_words: int = WINDOW_WORDS, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
+    """Of documents (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(partial(_digest, size=window_words, buckets=buckets), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _answered(docs.select("doc_id", "text"), window_words, bucket_bytes).mapInArrow(partial(_digest, size=window_words), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window_words: int = WINDOW_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window_words: int = WINDOW_WORDS, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """docs with the removed words cut out of text, each with the blanks behind it; texts that lose nothing stay as they are, byte for byte.
     A text all of whose words go becomes empty. All columns of docs are returned in their order."""
-    joined, buckets = _with_flags(docs, window_words)
-    return joined.mapInArrow(partial(_rewrite, size=window_words, buckets=buckets), docs.schema)
+    return _answered(docs, window_words, bucket_bytes).mapInArrow(partial(_rewrite, size=window_words), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

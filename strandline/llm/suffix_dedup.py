@@ -1,19 +1,19 @@
 """Suffix-array dedup: remove every byte of a repeated 400-byte string.
 
-The suffixes that matter are ordered by their first span bytes only. They are built blockwise with a difference cover D of period v: any two places have
-an offset below v at which both fall on a cover sample.
+Suffixes are ordered by their first span bytes only, blockwise, with a difference cover D of period v: any two places have an offset below v at which both
+fall on a cover sample (a place of a document whose number modulo v is in D).
 
-1. Cover samples (places of a document whose number modulo v is in D) are ranked by the span - v + 1 bytes from there. Ranks are made one bucket at a
-   time; only whether a rank is shared is kept.
+1. Cover samples are ranked by the span - v + 1 bytes from there, one bucket at a time; only whether a rank is shared is kept.
 2. A repeated string holds a cover sample of shared rank within its first v bytes, wherever it stands; all other suffixes are out without being sorted. The
-   remaining suffixes are the long ties. They are dealt into buckets and sorted one bucket at a time; neighbours that agree in span bytes are repeated.
+   remaining suffixes are the long ties. They are dealt into buckets, in rounds, and sorted one bucket at a time; neighbours that agree in span bytes are
+   repeated.
 3. The repeated strings of a document unite into maximal runs, which are removed.
 
-Ranks and orders come from 64-bit fingerprints of the strings, not from comparing bytes (exchange.py has the odds): equality is all that a fixed length
-needs. A bucket holds a bounded share of the text, so memory is bounded however large the corpus is.
+Orders come from 96-bit fingerprints of the strings, not from comparing bytes: equality is all that a fixed length needs, and blocks by leading bytes can't be
+bounded when a passage stands in a third of all documents (README). exchange.py says how strings are exchanged and what it holds in memory.
 
-A null text counts as empty. Strings of at most the text's own length are looked for, so texts below span bytes keep all. Rows that are repeated whole
-count as occurrences of each other. Other columns don't matter. An empty table gives none.
+A null text counts as empty. Texts below span bytes keep all. Rows that are repeated whole, with or without doc_id, count as occurrences of each other. Very long
+texts are handled in one piece by one task. Other columns don't matter. Ties don't arise: all occurrences go. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from strandline.llm.storage import discard, materialize
 
 SPAN, PERIOD = 400, 256
 #: Suffixes are sorted in so many rounds, each with a share of the buckets, so that one round's suffixes are on disk at a time.
-ROUNDS = 2
+ROUNDS = 3
 
 
 @cache
@@ -52,119 +52,104 @@ def difference_cover(v: int) -> tuple[int, ...]:
     return tuple(sorted(cover))
 
 
-class _Slice:
-    """Prefix sums and places of a slice of documents."""
-
-    def __init__(self, part: bytescan.Texts, span: int, period: int):
-        self.part, self.span, self.period = part, span, period
-        self.prefix = bytescan.rolling_prefix(bytescan.BYTE_VALUES[part.data])
-        self.lengths = part.ends - part.starts
-
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Cover samples with room for a ranked string, and how many each document has."""
-        size, cover = self.span - self.period + 1, np.array(difference_cover(self.period))
-        blocks = np.maximum(self.lengths - size + self.period, 0) // self.period
-        grid = (bytescan.ragged(np.zeros(len(blocks), np.int64), blocks)[:, None] * self.period + cover[None, :]).ravel()
-        doc = np.repeat(np.arange(len(blocks)), blocks * len(cover))
-        fits = grid + size <= self.lengths[doc]
-        grid, doc = grid[fits], doc[fits]
-        return grid + self.part.starts[doc], np.bincount(doc, minlength=len(blocks))
-
-    def ranks(self, at: np.ndarray) -> np.ndarray:
-        return bytescan.span_hash(self.prefix, at, at + (self.span - self.period + 1))
-
-    def strings(self, at: np.ndarray) -> np.ndarray:
-        return bytescan.span_hash(self.prefix, at, at + self.span)
-
-    def ties(self, flags: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes with a cover sample of shared rank in their first period bytes, and how many each document has."""
-        at, counts = self.samples()
-        shared = exchange.flagged(self.ranks(at), counts, flags, buckets)
-        doc = np.repeat(np.arange(len(counts)), counts)[shared]
-        x = at[shared] - self.part.starts[doc]
-        low, high = np.maximum(x - self.period + 1, 0), np.minimum(x, self.lengths[doc] - self.span) + 1
-        room = high > low
-        low, high, doc = low[room], high[room], doc[room]
-        edge = np.zeros(len(self.part.data) + 1, np.int64)
-        np.add.at(edge, low + self.part.starts[doc], 1)
-        np.add.at(edge, high + self.part.starts[doc], -1)
-        places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        return places, np.diff(np.searchsorted(places, np.append(self.part.starts, len(self.part.data))))
-
-
-def _rank_blocks(batches, span, period, buckets):
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        for part in bytescan.texts(batch.column(1)):
-            s = _Slice(part, span, period)
-            at, counts = s.samples()
-            if len(at):
-                yield exchange.blocks(keys[part.rows], counts, s.ranks(at), buckets)
+class _Prints:
+    """Fingerprints of strings of a slice: two families, the second over runs of eight bytes."""
+
+    def __init__(self, part: bytescan.Texts):
+        self.first = bytescan.rolling_prefix(bytescan.BYTE_VALUES[part.data])
+        self.second = bytescan.rolling_prefix(bytescan.gram_values(part.data), 1)
+
+    def of(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        grams = max(size - 7, 1)
+        return bytescan.span_hash(self.first, at, at + size), bytescan.span_hash(self.second, at, at + grams, 1).astype(np.uint32)
+
+
+def _joined(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.empty(0, np.uint64), *(p[0] for p in pairs)]), np.concatenate([np.empty(0, np.uint32), *(p[1] for p in pairs)])
+
+
+def _samples(part: bytescan.Texts, span: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cover samples with room for a ranked string, and the text of each."""
+    size, cover = span - period + 1, np.array(difference_cover(period))
+    lengths = part.ends - part.starts
+    blocks = np.maximum(lengths - size + period, 0) // period
+    grid = (bytescan.ragged(np.zeros(len(blocks), np.int64), blocks)[:, None] * period + cover[None, :]).ravel()
+    doc = np.repeat(np.arange(len(blocks)), blocks * len(cover))
+    fits = grid + size <= lengths[doc]
+    grid, doc = grid[fits], doc[fits]
+    return grid + part.starts[doc], doc
 
 
-def _flags(column: pa.Array) -> list:
-    """For each row a list of flags, from a column of them or of lists of them."""
-    return [x if x is None or isinstance(x, list) else [x] for x in column.to_pylist()]
+def _ranks(texts: pa.Array, span: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group: fingerprints of what ranks its cover samples."""
+    return _joined([_Prints(part).of(_samples(part, span, period)[0], span - period + 1) for part in bytescan.texts(texts)])
 
 
-def _tie_blocks(batches, span, period, buckets, round_, rounds):
+def _tied(batches, span: int, period: int):
+    """Groups with a bit for each byte of their texts: whether the suffix that begins there has a cover sample of shared rank in its first period bytes."""
     for batch in batches:
-        keys, flags = batch.column(0).to_numpy(zero_copy_only=False), _flags(batch.column(2))
-        for part in bytescan.texts(batch.column(1)):
-            s = _Slice(part, span, period)
-            at, counts = s.ties(flags[part.rows], buckets)
-            if not len(at):
-                continue
-            strings = s.strings(at)
-            own = exchange.bucket_of(strings, buckets) % rounds == round_
-            before = np.concatenate(([0], np.cumsum(own)))
-            edges = np.concatenate(([0], np.cumsum(counts)))
-            if own.any():
-                yield exchange.blocks(keys[part.rows], before[edges[1:]] - before[edges[:-1]], strings[own], buckets)
-
-
-def _gone(column, shared, repeated, span, period, buckets):
-    """For slices of a batch: the texts, and which of their bytes go."""
-    for part in bytescan.texts(column):
-        gone = np.zeros(len(part.data), bool)
-        if any(repeated[part.rows]):
-            s = _Slice(part, span, period)
-            at, counts = s.ties(shared[part.rows], buckets)
-            gone = bytescan.covered(len(gone), at[exchange.flagged(s.strings(at), counts, repeated[part.rows], buckets)], span)
-        yield part, gone
-
-
-def _digest(batches, **how):
+        for k in range(batch.num_rows):
+            texts = exchange.rows_of(batch, k).field("text")
+            shared, so_far, bits = exchange.Distinct(*_ranks(texts, span, period)).twice(exchange.answers(batch.column("numbers")[k].as_py())), 0, []
+            for part in bytescan.texts(texts):
+                at, doc = _samples(part, span, period)
+                own = shared[so_far : so_far + len(at)]
+                so_far += len(at)
+                x, doc = at[own], doc[own]
+                low, high = np.maximum(x - period + 1, part.starts[doc]), np.minimum(x, part.ends[doc] - span) + 1
+                room = high > low
+                edge = np.zeros(len(part.data) + 1, np.int64)
+                np.add.at(edge, low[room], 1)
+                np.add.at(edge, high[room], -1)
+                bits.append(np.cumsum(edge[:-1]) > 0)
+            ties = np.packbits(np.concatenate([np.empty(0, bool), *bits]))
+            yield pa.RecordBatch.from_arrays([batch.column("grp").slice(k, 1), batch.column("rows").slice(k, 1), pa.array([ties.tobytes() if ties.any() else None], pa.binary())], ["grp", "rows", "ties"])
+
+
+def _tie_places(texts: pa.Array, ties: bytes | None):
+    """For slices of a group's texts: the slice, and the suffixes (by place in it) that are tied."""
+    bits, so_far = np.unpackbits(np.frombuffer(ties or b"", np.uint8)).view(bool), 0
+    for part in bytescan.texts(texts):
+        yield part, np.flatnonzero(bits[so_far : so_far + len(part.data)]) if ties else np.empty(0, np.int64)
+        so_far += len(part.data)
+
+
+def _strings(texts: pa.Array, ties: bytes | None, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group: fingerprints of the strings at tied suffixes."""
+    return _joined([_Prints(part).of(at, span) for part, at in _tie_places(texts, ties) if len(at)])
+
+
+def _digest(batches, span: int):
     for batch in batches:
-        rows = []
-        for part, gone in _gone(batch.column(1), _flags(batch.column(2)), _flags(batch.column(3)), **how):
-            for a, b in zip(part.starts.tolist(), part.ends.tolist(), strict=True):
-                own, lost = part.data[a:b], gone[a:b]
-                removed = int(lost.sum())
-                spans = int((lost[1:] & ~lost[:-1]).sum()) + int(lost[0]) if removed else 0
-                rows.append((b - a, removed, spans, hashlib.sha256(own[~lost] if removed else own).hexdigest()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def removals(docs: DataFrame, span: int = SPAN, period: int = PERIOD, rounds: int = ROUNDS) -> DataFrame:
+        for g in range(batch.num_rows):
+            docs, ties = exchange.rows_of(batch, g), batch.column("ties")[g].as_py()
+            repeated, so_far, rows = None, 0, []
+            if ties:
+                repeated = exchange.Distinct(*_strings(docs.field("text"), ties, span)).twice(exchange.answers(batch.column("numbers")[g].as_py()))
+            for part, at in _tie_places(docs.field("text"), ties):
+                gone = bytescan.covered(len(part.data), at[repeated[so_far : so_far + len(at)]], span) if len(at) else np.zeros(len(part.data), bool)
+                so_far += len(at)
+                for a, b in zip(part.starts.tolist(), part.ends.tolist(), strict=True):
+                    own, lost = part.data[a:b], gone[a:b]
+                    removed = int(lost.sum())
+                    spans = int((lost[1:] & ~lost[:-1]).sum()) + int(lost[0]) if removed else 0
+                    rows.append((b - a, removed, spans, hashlib.sha256(own[~lost] if removed else own).hexdigest()))
+            yield pa.RecordBatch.from_arrays([docs.field("doc_id"), *(pa.array(x) for x in zip(*rows, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def removals(docs: DataFrame, span: int = SPAN, period: int = PERIOD, rounds: int = ROUNDS, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """Of documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256. period must not exceed span."""
     docs = docs.select("doc_id", "text")
     total = exchange.text_bytes(docs)
-    how = {"span": span, "period": period, "buckets": exchange.bucket_count(total)}
-    keyed = docs.select(exchange.key_column("text", "doc_id").alias("key"), "doc_id", "text")
-    ranked = exchange.repeated(keyed.select("key", "text").mapInArrow(partial(_rank_blocks, span=span, period=period, buckets=how["buckets"]), exchange.BLOCK_SCHEMA), how["buckets"])
-    shared = materialize(ranked.select("key", F.col("flags").alias("shared")), "shared-ranks")
-    tied = materialize(keyed.select("key", "text").join(shared.hint("shuffle_hash"), "key").select("key", "text", "shared"), "tied-texts")
-    twice = []
-    for k in range(rounds):
-        ties = tied.mapInArrow(partial(_tie_blocks, **how, round_=k, rounds=rounds), exchange.BLOCK_SCHEMA)
-        twice.append(materialize(exchange.repeated(ties, how["buckets"]), "repeated-strings"))
-    discard(tied)
-    strings = reduce(DataFrame.union, twice).groupBy("key").agg(F.collect_set("flags").alias("repeated"))
-    flags = shared.join(strings, "key")
-    joined = keyed.join(flags.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "shared", "repeated")
-    return joined.mapInArrow(partial(_digest, **how), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    groups = exchange.packed(docs)
+    shared = exchange.repeated(groups, partial(_ranks, span=span, period=period), total, bucket_bytes=bucket_bytes)
+    marked = groups.join(shared.hint("shuffle_hash"), "grp", "left").mapInArrow(partial(_tied, span=span, period=period), groups.drop("numbers").withColumn("ties", F.lit(None).cast("binary")).schema)
+    tied = materialize(marked, "tied-suffixes")
+    discard(groups)
+    twice = [materialize(exchange.repeated(tied.where("ties is not null"), partial(_strings, span=span), total, ["ties"], (k, rounds), bucket_bytes), "repeated-strings") for k in range(rounds)]
+    strings = reduce(DataFrame.union, twice).groupBy("grp").agg(F.collect_list("numbers").alias("numbers"))
+    joined = tied.join(strings.hint("shuffle_hash"), "grp", "left")
+    return joined.mapInArrow(partial(_digest, span=span), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
