@@ -30,7 +30,7 @@ from strandline.llm.storage import materialize
 
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Buckets that one task sorts one after another, and groups whose entries are dealt into blocks together.
-TASK_BUCKETS, BLOCK_GROUPS = 8, 16
+TASK_BUCKETS, BLOCK_GROUPS = 8, 4
 BLOCK_SCHEMA = "bucket int, groups binary, counts binary, firsts binary, hashes binary, checks binary"
 ANSWER_SCHEMA = "part int, groups binary, counts binary, numbers binary"
 
@@ -209,14 +209,15 @@ def _merged(batches):
 
 
 def repeated(groups: DataFrame, kernel: Kernel, total: int, columns: list[str] | None = None, share: tuple[int, int] = (0, 1), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(grp, numbers) of every group with a string that another group has too; Distinct.twice() reads numbers. kernel gets a group's texts and its columns; total: bytes
+    """(grp, numbers), in the shared folder, of every group with a string that another group has too; Distinct.twice() reads numbers. kernel gets a group's texts and its columns; total: bytes
     of all texts; share: (k, n) looks at the k-th of n shares of the buckets."""
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(-(-total // bucket_bytes), tasks * share[1])
     parts = max(tasks, -(-buckets // (TASK_BUCKETS * share[1])))
     blocks = groups.select("grp", "rows", *(columns or [])).mapInArrow(partial(_entries, kernel=kernel, columns=columns or [], buckets=buckets, share=share), BLOCK_SCHEMA)
     own = blocks.repartitionById(parts, (F.col("bucket") / share[1]).cast("int") % parts).sortWithinPartitions("bucket")
-    return own.mapInArrow(partial(_shared, parts=parts), ANSWER_SCHEMA).repartitionById(parts, F.col("part")).mapInArrow(_merged, "grp long, numbers binary")
+    told = own.mapInArrow(partial(_shared, parts=parts), ANSWER_SCHEMA).repartitionById(parts, F.col("part")).mapInArrow(_merged, "grp long, numbers binary")
+    return materialize(told, "answers")  # which frees the entries
 
 
 def key_column(text: str = "text", *ids: str) -> Column:

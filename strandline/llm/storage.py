@@ -24,7 +24,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strandline/{label}-{uuid.uuid4().hex}"
     with setting(spark, CLEANUP, "true"):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_path = path
     return out

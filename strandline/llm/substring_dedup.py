@@ -11,15 +11,18 @@ empty table gives none.
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.llm import bytescan, exchange
 
 WINDOW_WORDS = 35
+#: Windows are counted in so many rounds, each with a share of the buckets, so that one round's windows are on disk at a time.
+ROUNDS = 2
 
 
 def _windows(part: bytescan.Texts, size: int):
@@ -97,7 +100,8 @@ def _answered(docs: DataFrame, size: int, bucket_bytes: int) -> DataFrame:
     """Groups of documents with the numbers of their repeated windows."""
     total = exchange.text_bytes(docs)
     groups = exchange.packed(docs)
-    numbers = exchange.repeated(groups, partial(_strings, size=size), total, bucket_bytes=bucket_bytes)
+    found = [exchange.repeated(groups, partial(_strings, size=size), total, share=(k, ROUNDS), bucket_bytes=bucket_bytes) for k in range(ROUNDS)]
+    numbers = reduce(DataFrame.union, found).groupBy("grp").agg(F.collect_list("numbers").alias("numbers"))
     return groups.join(numbers.hint("shuffle_hash"), "grp", "left")
 
 

@@ -145,8 +145,8 @@ def removals(docs: DataFrame, span: int = SPAN, period: int = PERIOD, rounds: in
     shared = exchange.repeated(groups, partial(_ranks, span=span, period=period), total, bucket_bytes=bucket_bytes)
     marked = groups.join(shared.hint("shuffle_hash"), "grp", "left").mapInArrow(partial(_tied, span=span, period=period), groups.drop("numbers").withColumn("ties", F.lit(None).cast("binary")).schema)
     tied = materialize(marked, "tied-suffixes")
-    discard(groups)
-    twice = [materialize(exchange.repeated(tied.where("ties is not null"), partial(_strings, span=span), total, ["ties"], (k, rounds), bucket_bytes), "repeated-strings") for k in range(rounds)]
+    discard(groups, shared)
+    twice = [exchange.repeated(tied.where("ties is not null"), partial(_strings, span=span), total, ["ties"], (k, rounds), bucket_bytes) for k in range(rounds)]
     strings = reduce(DataFrame.union, twice).groupBy("grp").agg(F.collect_list("numbers").alias("numbers"))
     joined = tied.join(strings.hint("shuffle_hash"), "grp", "left")
     return joined.mapInArrow(partial(_digest, span=span), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
