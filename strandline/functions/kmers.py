@@ -24,10 +24,15 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn")
 
 
-def plain_bases(seq: Column, soft_mask: bool = False) -> Column:
-    """Upper case; each character that is not a base becomes A. With soft_mask, so do lower-case bases. Null stays null."""
+def plain_bases(seq: Column, soft_mask: bool = False, gap: int = 0) -> Column:
+    """Upper case; a degenerate base becomes the first base that it stands for (B, S and Y C; K G; U T; all others A), and so does each other character A. With
+    soft_mask, lower-case bases become A. With gap, runs of so many N or more stay N, so that no k-mer crosses them. Null stays null."""
     # Not upper(), which makes two characters of some.
-    return F.regexp_replace(seq if soft_mask else F.translate(seq, "acgt", "ACGT"), "[^ACGT]", "A")
+    plain = F.translate(seq, "UBSYK", "TCCCG") if soft_mask else F.translate(seq, "acgtubsyknUBSYK", "ACGTTCCCGNTCCCG")
+    if gap:
+        short = "|".join(f"(?<=(?<!N)N{{{i}}})N(?=N{{0,{gap - 2 - i}}}(?!N))" for i in range(gap - 1))
+        plain = F.regexp_replace(plain, short, "A")
+    return F.regexp_replace(plain, "[^ACGTN]" if gap else "[^ACGT]", "A")
 
 
 def encode(seq: Column) -> Column:
@@ -147,7 +152,8 @@ def codes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.arange(n), fwd, rev
 
 
-def _explode(batches, k, scale):
+def _explode(batches, k, scale, only):
+    known = only.value if only is not None else None
     for batch in batches:
         ids, pos, fwd, rev = [], [], [], []
         for i, s in enumerate(batch.column(1).to_pylist()):
@@ -155,6 +161,10 @@ def _explode(batches, k, scale):
             if scale > 1:
                 keep = hash64(np.minimum(f, r)) & np.uint64(scale - 1) == 0
                 p, f, r = p[keep], f[keep], r[keep]
+            if known is not None:
+                near = np.searchsorted(known, f)
+                keep = known[np.minimum(near, len(known) - 1)] == f if len(known) else np.zeros(len(f), bool)
+                p, f, r = p[keep], f[keep], r[keep]
             ids.append(np.full(len(p), i))
             pos.append(p)
             fwd.append(f)
@@ -163,11 +173,37 @@ def _explode(batches, k, scale):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(x)) for x in (pos, fwd, rev))], ["id", "pos", "kmer", "rc"])
 
 
-def explode_kmers(df: DataFrame, id_col: str, seq_col: str, k: int, scale: int = 1) -> DataFrame:
-    """(id, pos, kmer, rc) of every k-mer of every sequence; with scale 2, 4 or 8 of those alone whose canonical code hashes to 0 modulo scale."""
+def explode_kmers(df: DataFrame, id_col: str, seq_col: str, k: int, scale: int = 1, only: np.ndarray | None = None) -> DataFrame:
+    """(id, pos, kmer, rc) of every k-mer of every sequence; with scale 2, 4 or 8 of those alone whose canonical code hashes to 0 modulo scale. only: sorted codes
+    (a bounded number, sent to all tasks), all others are left out."""
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be from 1 to {MAX_K}")
     if scale & scale - 1:
         raise ValueError("scale must be a power of two")
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, seq_col).mapInArrow(lambda b: _explode(b, k, scale), f"id {kind}, pos long, kmer long, rc long").withColumnRenamed("id", id_col)
+    known = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
+    return df.select(id_col, seq_col).mapInArrow(lambda b: _explode(b, k, scale, known), f"id {kind}, pos long, kmer long, rc long").withColumnRenamed("id", id_col)
+
+
+def _count(batches, k):
+    for batch in batches:
+        n, distinct = [], []
+        for s in batch.column(1).to_pylist():
+            _, f, r = codes((s or "").encode(), k)
+            n.append(len(f))
+            distinct.append(len(np.unique(np.minimum(f, r))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(distinct, pa.int64())], ["id", "n", "n_canonical"])
+
+
+def count_kmers(df: DataFrame, id_col: str, seq_col: str, k: int) -> DataFrame:
+    """(id, n, n_canonical): k-mers of each sequence and its distinct canonical ones, counted where the sequence stands. One without a k-mer has zeros."""
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, seq_col).mapInArrow(lambda b: _count(b, k), f"id {kind}, n long, n_canonical long").withColumnRenamed("id", id_col)
+
+
+def sorted_codes(kmer_rows: DataFrame, most: int = 2_000_000) -> np.ndarray | None:
+    """The distinct codes (kmer) in order, or None if there are more than most: so many are counted before any is brought to the driver."""
+    distinct = kmer_rows.select("kmer").distinct()
+    if distinct.limit(most + 1).count() > most:
+        return None
+    return np.sort(distinct.toPandas()["kmer"].to_numpy(np.int64))

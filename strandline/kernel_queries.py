@@ -55,18 +55,13 @@ def sampled_kmers(spark, sf):
     return kmers.explode_kmers(items(spark, sf), "item_id", "seq", 13, scale=4)
 
 
-@query(f"WITH {_GENOMES}, w AS (SELECT item_id, s AS start, substr(seq, s, 31) AS x FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 29, 31)) AS s FROM q)), gr AS (SELECT item_id, start, n, substr(x, i, n) AS gram FROM (SELECT *, unnest(range(1, 33 - n)) AS i FROM (SELECT *, unnest([2, 3]) AS n FROM w))), c AS (SELECT item_id, start, n, gram, count(*) AS times FROM gr GROUP BY ALL), t AS (SELECT item_id, start, count(*) FILTER (n = 2) AS k2, count(*) FILTER (n = 3) AS k3, max(times) FILTER (n = 2) AS m2, max(times) FILTER (n = 3) AS m3 FROM c GROUP BY ALL) SELECT item_id, start, k2 < 4 AND (m2 >= 14 OR (k3 < 8 AND m3 >= 9)) AS low FROM t")
-def low_complexity(spark, sf, stride=31):
-    w = items(spark, sf).where(F.length("seq") >= 31).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 30, F.lit(stride))).alias("start"))
+@query(f"WITH {_GENOMES}, w AS (SELECT item_id, s AS start, substr(seq, s, 31) AS x FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 29)) AS s FROM q)), gr AS (SELECT item_id, start, n, substr(x, i, n) AS gram FROM (SELECT *, unnest(range(1, 33 - n)) AS i FROM (SELECT *, unnest([2, 3]) AS n FROM w))), c AS (SELECT item_id, start, n, gram, count(*) AS times FROM gr GROUP BY ALL), t AS (SELECT item_id, start, count(*) FILTER (n = 2) AS k2, count(*) FILTER (n = 3) AS k3, max(times) FILTER (n = 2) AS m2, max(times) FILTER (n = 3) AS m3 FROM c GROUP BY ALL) SELECT item_id, start, k2 < 4 AND (m2 >= 14 OR (k3 < 8 AND m3 >= 9)) AS low FROM t")
+def low_complexity(spark, sf):
+    """Of the window of 31 bases at every base."""
+    w = items(spark, sf).where(F.length("seq") >= 31).select("item_id", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 30)).alias("start"))
     return w.select("item_id", F.col("start").cast("long"), kmers.monotonous(F.substring(F.col("seq"), F.col("start"), F.lit(31))).alias("low"))
 
 
-@query(ORACLES["low_complexity"].replace("length(seq) - 29, 31)", "length(seq) - 29)"))
-def low_complexity_all(spark, sf):
-    """low_complexity() of the window at every base."""
-    return low_complexity(spark, sf, 1)
-
-
 @query("SELECT l_orderkey, l_linenumber, round(0.1 * l_quantity * l_quantity, 6) AS weight, round(CASE WHEN g = 0 THEN 0 ELSE 0.1 * g + 0.5 * log2(g) END, 6) AS penalty FROM (SELECT *, CAST(l_orderkey % 7 AS DOUBLE) AS g FROM lineitem)")
 def seed_scores(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("g", (F.col("l_orderkey") % 7).cast("double"))
@@ -127,7 +122,10 @@ def merge_results(spark, sf):
     return out.select("query", "sgenome", "o", "n", F.col("genome_rank").cast("long").alias("genome_rank"), F.col("hits").cast("long").alias("hits"))
 
 
-@query("SELECT conv_id, turn, CAST(floor((sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text)) / 300) AS INTEGER) AS chunk_idx FROM conversations")
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+t AS (SELECT conv_id, turn, r, n AS run, 0 AS chunk_idx FROM c WHERE r = 1 UNION ALL
+SELECT c.conv_id, c.turn, c.r, CASE WHEN t.run + c.n > 300 THEN c.n ELSE t.run + c.n END, t.chunk_idx + CAST(t.run + c.n > 300 AS INTEGER) FROM t JOIN c ON c.conv_id = t.conv_id AND c.r = t.r + 1)
+SELECT conv_id, turn, chunk_idx FROM t""")
 def genome_chunks(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("genome_id"), F.col("turn").alias("seq_idx"), F.length("text").alias("seq_len"))
     return index_plan.chunked(c, 300).select(F.col("genome_id").alias("conv_id"), F.col("seq_idx").alias("turn"), "chunk_idx")

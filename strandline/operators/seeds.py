@@ -238,7 +238,9 @@ def ancestors(tree: DataFrame, node: str, parent: str, depth: int = 64) -> DataF
 
 
 def by_taxon(df: DataFrame, taxon: str, closure: DataFrame, include: list[int], exclude: list[int], keep_unknown: bool = False) -> DataFrame:
-    """Rows whose taxon lies under one of include (if any are given) and under none of exclude."""
+    """Rows whose taxon lies under one of include (if any are given) and under none of exclude. Rows without taxon stay only if keep_unknown, whichever list is given."""
+    if (include or exclude) and not keep_unknown:
+        df = df.where(F.col(taxon).isNotNull())
     if include:
         inside = closure.where(F.col("ancestor").isin(include)).select(F.col("node").alias(taxon)).distinct()
         kept = df.join(inside, taxon, "left_semi")

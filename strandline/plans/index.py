@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import kmers
 from strandline.operators import intervals, seeds
 
+#: Runs of so many N are gaps, which no seed crosses.
+GAP = 5
+
 
 @dataclass(frozen=True)
 class Options:
@@ -43,16 +47,33 @@ def valid_contigs(records: DataFrame, options: Options, exclude: list[str] = ())
     fine = kept.where(F.col("largest") <= options.max_genome)
     w = Window.partitionBy("genome_id").orderBy("seq_idx")
     offset = F.coalesce(F.sum(F.length("seq") + options.contig_interval).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    contigs = fine.select("genome_id", "seq_idx", "seq_id", F.length("seq").alias("seq_len"), offset.alias("offset_start"), (offset + F.length("seq") - 1).alias("offset_end"), F.upper("seq").alias("seq"))
+    contigs = fine.select("genome_id", "seq_idx", "seq_id", F.length("seq").alias("seq_len"), offset.alias("offset_start"), (offset + F.length("seq") - 1).alias("offset_end"), kmers.plain_bases(F.col("seq"), gap=GAP).alias("seq"))
     state = records.withColumn("ok", F.length("seq") >= least).groupBy("genome_id").agg(F.max(F.length("seq")).alias("largest"), F.max("ok").alias("ok"))
     skipped = state.where(~F.col("ok") | (F.col("largest") > options.max_genome)).select("genome_id", F.when(F.col("ok"), "too_large_genome").otherwise("no_valid_seqs").alias("reason"))
     return contigs, skipped
 
 
 def chunked(contigs: DataFrame, most: int) -> DataFrame:
-    """chunk_idx of each contig: a genome's contigs in order, cut where the running length passes another multiple of most."""
-    w = Window.partitionBy("genome_id").orderBy("seq_idx")
-    return contigs.withColumn("chunk_idx", F.floor((F.sum("seq_len").over(w) - F.col("seq_len")) / most).cast("int"))
+    """chunk_idx of each contig: a genome's contigs in order; one with which the chunk would be longer than most begins the next, whose length begins anew. A null
+    length counts as none. Lengths alone are sorted, and read in order by one task a genome in bounded memory."""
+    kinds = [contigs.schema[c].dataType.simpleString() for c in ("genome_id", "seq_idx")]
+
+    def fold(batches):
+        genome, run, chunk = None, 0, 0
+        for batch in batches:
+            names, out = batch.column(0).to_pylist(), []
+            for name, n in zip(names, batch.column(2).to_pylist(), strict=True):
+                n = n or 0
+                if name != genome:
+                    genome, run, chunk = name, 0, 0
+                elif run + n > most:
+                    run, chunk = 0, chunk + 1
+                run += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["genome_id", "seq_idx", "chunk_idx"])
+
+    ordered = contigs.select("genome_id", "seq_idx", F.col("seq_len").cast("long")).repartition("genome_id").sortWithinPartitions("genome_id", "seq_idx")
+    return contigs.join(ordered.mapInArrow(fold, f"genome_id {kinds[0]}, seq_idx {kinds[1]}, chunk_idx int"), ["genome_id", "seq_idx"])
 
 
 class Index:
@@ -63,12 +84,15 @@ class Index:
         self.options, self.contigs, self.mask_rows, self.seeds = options, contigs, masks, seed_rows
 
     @classmethod
-    def build(cls, records: DataFrame, options: Options = Options(), masks: DataFrame | None = None) -> Index:
-        contigs, _ = valid_contigs(records, options)
+    def build(cls, records: DataFrame, options: Options = Options(), masks: DataFrame | None = None, exclude: list[str] = ()) -> Index:
+        """exclude: patterns of contig names that are left out. The index's skipped lists the genomes left out, with reasons."""
+        contigs, skipped = valid_contigs(records, options, exclude)
         masks = seeds.generate_masks(records.sparkSession, options.k, options.masks, options.seed) if masks is None else masks
         keyed = contigs.select(F.struct("genome_id", "seq_idx").alias("id"), "seq")
         found = seeds.index_seeds(keyed, "id", "seq", masks, options.k, options.max_desert, options.desert_step, options.desert_step // 2)
-        return cls(options, contigs, masks, found.select("mask_id", "kmer", "id.genome_id", "id.seq_idx", "pos", "rc", "rev"))
+        index = cls(options, contigs, masks, found.select("mask_id", "kmer", "id.genome_id", "id.seq_idx", "pos", "rc", "rev"))
+        index.skipped = skipped
+        return index
 
     def places(self) -> DataFrame:
         """Seeds in the order of their bases: each captured place, without the reversed copies."""

@@ -170,7 +170,9 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
     h = h.where((F.col("evalue") <= options.max_evalue) & (F.col("pident") >= options.min_identity) & (F.col("qcovHSP") >= options.min_query_coverage_hsp))
     cover = intervals.union_length(h.select("query", "genome_id", "qb", (F.col("qe") - 1).alias("q_last")), ["query", "genome_id"], "qb", "q_last")
     h = h.join(cover, ["query", "genome_id"]).withColumn("qcovGnm", alignment.share(F.col("covered"), F.col("qlen"))).where(F.col("qcovGnm") >= options.min_query_coverage_genome)
-    h = intervals.number_hits(h.withColumn("rank_score", F.col("bitscore") * F.col("pident")), "query", "genome_id", "seq_idx", "rank_score", ["qb", "tb"])
+    # A cluster of alignments is what comes from one chain.
+    h = h.withColumn("rank_score", F.col("bitscore") * F.col("pident")).withColumn("cluster", F.struct("seq_idx", "rc", "chain"))
+    h = intervals.number_hits(h, "query", "genome_id", "cluster", "rank_score", ["qb", "tb"])
     flip = F.col("rc")
     return h.select("query", "qlen", "hits", F.col("genome_id").alias("sgenome"), "sseqid", "qcovGnm", "cls", "hsp", "qcovHSP", F.col("alen").alias("alenHSP"), "pident", "gaps", (F.col("qb") + 1).alias("qstart"), F.col("qe").alias("qend"), (F.col("tb") + 1).alias("sstart"), F.col("te").alias("send"), F.when(flip, "-").otherwise("+").alias("sstr"), "slen", "evalue", "bitscore", "cigar", "qseq", "sseq", "align", "genome_rank")
 
@@ -194,35 +196,41 @@ def fragment_pairs(a: DataFrame, b: DataFrame, k: int = 11, scale: int = 4, leas
 
 def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70, min_coverage: float = 15, reciprocal: bool = True, min_fraction: float = 0, min_ani: float = 0) -> DataFrame:
     """(query, subject, ANI, qAF, sAF, tANI): genomes of a against genomes of b (contigs of both), by aligned fragments, all in per cent. reciprocal keeps mutual best
-    fragments alone; else each query fragment's best."""
+    fragments alone, whose matches count for both sides in tANI; else ANI and fractions are those of each query fragment's best, and tANI has the matches of each side's
+    best. An alignment's identity is that of all its columns; aligned lengths leave gaps out."""
     fa, fb = fragments(a, size), fragments(b, size)
     # The shortest fragments count as well, so the bound is that of their length.
     least = max(3, thresholds.least_shared(100, 11, 4, 0.8))
     named = lambda f, c, s: f.select(F.concat_ws("|", "genome_id", "frag").alias(c), F.col("genome_id").alias(f"g_{c}"), F.col("seq").alias(s), F.col("frag_len").alias(f"len_{c}"))
-    pairs = fragment_pairs(fa, fb, least=least).join(named(fa, "frag_a", "qa"), "frag_a").join(named(fb, "frag_b", "tb"), "frag_b")
-    schema = "frag_a string, frag_b string, g_frag_a string, g_frag_b string, len_frag_a int, len_frag_b int, matches int, aligned int"
+    both = fragment_pairs(fa, fb, least=least).select("frag_a", "frag_b")
+    if not reciprocal:
+        both = both.union(fragment_pairs(fb, fa, least=least).select("frag_b", "frag_a")).distinct()
+    pairs = both.join(named(fa, "frag_a", "qa"), "frag_a").join(named(fb, "frag_b", "tb"), "frag_b")
+    schema = "frag_a string, frag_b string, g_frag_a string, g_frag_b string, len_frag_a int, len_frag_b int, matches int, aligned int, columns int"
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                best = (0, 0)
+                best = (0, 0, 0)
                 for t in (r.tb, r.tb.translate(_COMPLEMENT)[::-1]):
                     for qb, qe, tb, te, _ in shared_regions(r.qa, t, 50):
                         _, matches, gaps, _ = chaining.align(r.qa[qb:qe], t[tb:te])
-                        best = max(best, (matches, qe - qb))
+                        columns = (qe - qb + te - tb + gaps) // 2
+                        best = max(best, (matches, columns - gaps, columns))
                 if best[1]:
                     rows.append((r.frag_a, r.frag_b, r.g_frag_a, r.g_frag_b, r.len_frag_a, r.len_frag_b, *best))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    found = dealt(pairs, "frag_a", "frag_b").mapInPandas(run, schema).withColumn("pident", alignment.share(F.col("matches"), F.col("aligned")))
+    found = dealt(pairs, "frag_a", "frag_b").mapInPandas(run, schema).withColumn("pident", alignment.share(F.col("matches"), F.col("columns")))
     found = found.where((F.col("pident") >= min_identity) & (F.col("aligned") * 100 >= min_coverage * F.col("len_frag_a"))).withColumn("value", F.col("aligned") * F.col("pident"))
     wa, wb = Window.partitionBy("frag_a", "g_frag_b").orderBy(F.desc("value"), "frag_b"), Window.partitionBy("frag_b", "g_frag_a").orderBy(F.desc("value"), "frag_a")
-    best = found.withColumn("ra", F.row_number().over(wa)).withColumn("rb", F.row_number().over(wb)).where("ra = 1 and rb = 1" if reciprocal else "ra = 1")
+    best = found.withColumn("ra", F.row_number().over(wa)).withColumn("rb", F.row_number().over(wb)).where("ra = 1 and rb = 1" if reciprocal else "ra = 1 or rb = 1")
+    own, back = F.col("ra") == 1, F.col("rb") == 1
     total = lambda f, g, n: f.groupBy(F.col("genome_id").alias(g)).agg(F.sum("frag_len").alias(n))
-    sums = best.groupBy(F.col("g_frag_a").alias("query"), F.col("g_frag_b").alias("subject")).agg(F.avg("pident").alias("ANI"), F.sum("aligned").alias("aligned"), F.sum("matches").alias("matches"))
+    sums = best.groupBy(F.col("g_frag_a").alias("query"), F.col("g_frag_b").alias("subject")).agg(F.avg(F.when(own, F.col("pident"))).alias("ANI"), F.sum(F.when(own, F.col("aligned"))).alias("aligned"), (F.sum(F.when(own, F.col("matches"))) + F.sum(F.when(back, F.col("matches")))).alias("matches")).where("aligned is not null")
     out = sums.join(total(fa, "query", "qsize"), "query").join(total(fb, "subject", "ssize"), "subject")
-    out = out.select("query", "subject", "ANI", alignment.share(F.col("aligned"), F.col("qsize")).alias("qAF"), alignment.share(F.col("aligned"), F.col("ssize")).alias("sAF"), (F.col("matches") * 200 / (F.col("qsize") + F.col("ssize"))).alias("tANI"))
+    out = out.select("query", "subject", "ANI", alignment.share(F.col("aligned"), F.col("qsize")).alias("qAF"), alignment.share(F.col("aligned"), F.col("ssize")).alias("sAF"), (F.col("matches") * 100 / (F.col("qsize") + F.col("ssize"))).alias("tANI"))
     return out.where((F.col("qAF") >= min_fraction) & (F.col("ANI") >= min_ani))
 
 

@@ -94,8 +94,8 @@ def test_contig_rules(spark):
     kept, skipped = valid_contigs(records, options, exclude=["plasmid"])
     assert [(r["genome_id"], r["seq_idx"], r["offset_start"], r["offset_end"]) for r in kept.collect()] == [("a", 0, 0, 79)]
     assert {r["genome_id"]: r["reason"] for r in skipped.collect()} == {"b": "too_large_genome", "c": "no_valid_seqs"}
-    lengths = spark.createDataFrame([("g", 0, 60), ("g", 1, 60), ("g", 2, 60)], "genome_id string, seq_idx int, seq_len int")
-    assert [r["chunk_idx"] for r in chunked(lengths, 100).orderBy("seq_idx").collect()] == [0, 0, 1]
+    lengths = spark.createDataFrame([("g", 0, 60), ("g", 1, 30), ("g", 2, 60), ("g", 3, 40), ("g", 4, 100), ("h", 0, 90)], "genome_id string, seq_idx int, seq_len int")
+    assert [r["chunk_idx"] for r in chunked(lengths, 100).orderBy("genome_id", "seq_idx").collect()] == [0, 0, 1, 1, 2, 0]
 
 
 def test_ani_of_a_mutated_genome(spark, genome):
