@@ -2,11 +2,11 @@
 
 A text is the average of the embeddings of its byte n-grams (2 to 4 bytes, hashed to buckets; non-letters count as blanks), and a linear softmax
 over it gives the language. Both are trained together by stochastic gradient descent in numpy on a bounded sample: at most train_docs labelled documents
-of at most train_chars characters, those with the smallest hash of their id. A fifth of the sample is kept from training: a temperature is fitted there,
+of at most train_chars characters, those with the smallest hash of id and text (rows equal in both count once). A fifth of the sample is kept from training: a temperature is fitted there,
 which calibrates the probabilities, and the rejection threshold is the lowest probability at and above which at least precision of them are right.
 
-Predictions read text alone. A text that is null or has no letter is `und` with score 0. Very long texts are read whole. Repeated rows are answered each for
-itself; other columns don't matter. With an empty table, or no labelled row to learn from, nothing is learned and every row is `und`.
+Predictions read text alone. A text that is null or has no letter is `und` with score 0. Very long texts are read whole. Repeated rows and rows without doc_id
+are answered each for itself; other columns don't matter. With an empty table, or no labelled row to learn from, nothing is learned and every row is `und`.
 """
 
 from __future__ import annotations
@@ -162,9 +162,11 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model | None:
     """Learn from (doc_id, text, lang) outside the held-out fifth."""
     fit_on = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= train_chars))
-    hashed = fit_on.select(F.xxhash64("doc_id").alias("h"), "text", "lang")
+    hashed = fit_on.select(F.xxhash64("doc_id", "text").alias("h"), "text", "lang")
     last = hashed.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]  # hashes alone go to the driver, then the chosen texts
-    rows = sorted(hashed.where(F.col("h") <= last).collect(), key=tuple)[:train_docs] if last is not None else []
+    # Rows of equal id and text count once (with the first of their languages), so train_docs rows at most are collected.
+    chosen = hashed.where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("x")).select("h", "x.text", "x.lang") if last is not None else None
+    rows = sorted(chosen.collect(), key=tuple) if chosen is not None else []
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
