@@ -11,7 +11,8 @@ lost. Within a bucket only links that join two parts are returned, so a group of
 alternating large-star and small-star steps on tables in the shared folder.
 
 Texts that are null or without words have fingerprint zero and link like any other. Rows with a null doc_id take part; a component of such rows alone
-has a null component_id. Repeated rows come back repeated. An empty table gives none.
+has a null component_id. Repeated rows come back repeated. Very long texts are hashed whole. Other columns don't matter to near_duplicates(); keep_one() returns them
+all. Ties: among equally near texts all are linked, and the smallest doc_id names the component. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SEGMENTS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 BUCKET_LIMIT = 8192
 #: Rows that one linking task holds.
 TASK_ROWS = 500_000
+#: Parts into which the rows of one node or component are dealt when they meet a row about it.
+SALTS = 16
 
 
 def _shingles(text: bytes, size: int) -> list[int]:
@@ -182,6 +185,13 @@ def links(distinct: DataFrame, n: int, bucket_limit: int = BUCKET_LIMIT) -> Data
     return reduce(DataFrame.union, found)
 
 
+def _told(rows: DataFrame, about: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with about, a row for each key. The rows of a key are dealt over SALTS partitions by the hash of another column, so none gets too many."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int").alias("_salt")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    return rows.select("*", salt).join(about.select("*", each), [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b); root is the smallest node that can be reached."""
     spark = edges.sparkSession
@@ -191,10 +201,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = _told(both.where("v > u"), least, "u", "v").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        small = _told(large, low, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         fresh = materialize(small.where("a <> b").distinct(), "edges")
         after = mark(fresh)
         discard(e)
@@ -206,18 +216,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _parts(docs: DataFrame, shingle_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of documents (doc_id, text): fingerprints (doc_id, fp), nodes (fp, root) and the components (root, component_id)."""
+    """Of documents (doc_id, text): fingerprints (doc_id, fp), distinct ones with the smallest doc_id of each (fp, least_id), and of those that are linked to others
+    the component's smallest (fp, component_id)."""
     fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes, nodes.count())).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return fps, nodes, nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    linked = materialize(nodes.join(roots, "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return fps, nodes, materialize(_told(linked, least, "root", "fp").select("fp", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Of documents (doc_id, text): doc_id, fingerprint (hex), component_id."""
-    fps, nodes, parts = _parts(docs, shingle_words)
-    named = nodes.join(parts, "root").select("fp", "component_id")
+    fps, nodes, linked = _parts(docs, shingle_words)
+    # A component of rows without doc_id alone has no id; so it matters whether a fingerprint is linked, not whether it has an id.
+    named = nodes.join(linked.withColumn("_linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -226,11 +239,12 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     the smallest digest. Rows of different components stay even if they share a doc_id, or have none."""
     # As this orders rows and tells texts apart, the smallest of a component is in no other one.
     row = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("digest"))
-    marked = docs.withColumn("_row", row)
-    *_, parts = _parts(marked.select(F.col("_row").alias("doc_id"), "text"), shingle_words)
-    kept = marked.join(parts.select(F.col("component_id").alias("_row")), "_row", "left_semi")
-    # By the digest, not by _row: the exchange this asks for sends one row a task of many equal ones, and lets Spark split a join partition that they fill.
-    return kept.select("*", F.col("_row.digest").alias("_digest")).dropDuplicates(["doc_id", "_digest"]).drop("_row", "_digest")
+    marked = docs.select(F.struct("*").alias("doc"), row.alias("row"))  # so that columns of docs may have any name
+    _, nodes, linked = _parts(marked.select(F.col("row").alias("doc_id"), "doc.text"), shingle_words)
+    alone = nodes.join(linked, "fp", "left_anti").select(F.col("least_id").alias("row"))
+    kept = marked.join(alone.union(linked.select("component_id").distinct()), "row", "left_semi")
+    # By id and digest, not by row: the exchange this asks for sends one row a task of many equal ones, and lets Spark split a join partition that they fill.
+    return kept.select("doc", F.col("row.id").alias("id"), F.col("row.digest").alias("digest")).dropDuplicates(["id", "digest"]).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
