@@ -14,8 +14,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset, as in a local session, a folder of this machine serves instead."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'strandline-checkpoints')}"
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder of this machine; on a cluster, whose executors wouldn't share that, it is
+    an error."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = f"file://{os.path.join(tempfile.gettempdir(), 'strandline-checkpoints')}"
     return place.rstrip("/")
 
 
