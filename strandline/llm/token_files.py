@@ -30,6 +30,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 18
 #: Ids that one sorting task holds.
 SHARD_IDS = 8_000_000
+#: So many shards' offsets, of twelve bytes each, are sent to all tasks at most.
+BROADCAST_SHARDS = 100_000
 FILE_SCHEMA = "shard int, block int, ids_before long, n_ids long, doc_ids array<{kind}>, doc_counts binary, control binary, data binary"
 
 #: The printable character that byte-level vocabularies write for each byte; line feeds, which pre-tokens don't have, stay.
@@ -232,6 +234,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # A row for each shard of SHARD_IDS ids: the ids of all shards before it. Shards are numbered in the order of doc_id.
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    if (blocks.agg(F.max("shard")).first()[0] or 0) < BROADCAST_SHARDS:
+        bases = F.broadcast(bases)  # else the blocks are shuffled to them
     shared = spark.sparkContext.broadcast(ranks(spark, path))
     return blocks.join(bases, "shard").mapInArrow(lambda b: _documents(b, shared), f"doc_id {kind}, start long, ids binary")
 
