@@ -6,8 +6,11 @@ The splitter reads character classes and marks where pre-tokens begin. It has ni
 states; the maps of all chunks of a batch are built side by side and composed by a parallel prefix scan, after which every chunk knows its entry state and
 is read once more to emit its marks.
 
-The counter reads the bytes of a pre-token, its last byte as a symbol of its own (it carries the word end). Each transition is annotated with the change
-in the number of tokens. A state stands for all prefixes with the same future: for each suffix of the prefix that begins some token, the suffix's place in
+The counter reads the bytes of all pre-tokens that are new to a worker as one stream, the last byte of each as a symbol of its own (it carries the word end and
+leads back to the start). Each transition is annotated with the change in the number of tokens. The stream is cut into chunks without regard to pre-tokens; a chunk is a
+map from the state at its begin to the state and the tokens of the unfinished pre-token at its end, and the maps are composed by a prefix scan too (up and down
+a tree), which gives every chunk its entry. As states are many, a map is built for the entry that the bytes before the chunk suggest, and is extended
+when the scan asks for another, so the result never depends on the guess. A state stands for all prefixes with the same future: for each suffix of the prefix that begins some token, the suffix's place in
 the token trie, the last token of the encoding before it, and how many tokens fewer that has. The encoding of a prefix ends with the one token
 whose pair with the last token before it is what the merges leave unmerged; so a transition needs only the state. Transitions are compiled when first
 met, from the merges alone, and are kept until most_states states exist, which bounds memory; then compilation starts afresh.
@@ -222,14 +225,99 @@ class Counter:
         step = self.steps[state << 9 | symbol] = (number, gain)
         return step
 
-    def count(self, piece: bytes) -> int:
-        """Tokens of a pre-token."""
-        steps, state, total = self.steps, 0, 0
-        for s in (*piece[:-1], piece[-1] + 256):
+    def read(self, symbols: list[int], state: int = 0) -> tuple[int, int]:
+        """The state after symbols and the tokens they emit."""
+        steps, total = self.steps, 0
+        for s in symbols:
             step = steps.get(state << 9 | s) or self.compile(state, s)
             state = step[0]
             total += step[1]
-        return total
+        return state, total
+
+    def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = CHUNK) -> list[int]:
+        """Tokens of the pre-tokens data[starts:ends], none of them empty."""
+        if not len(starts):
+            return []
+        symbols = data[bytescan.ragged(starts, ends - starts)].astype(np.int16)
+        stops = np.cumsum(ends - starts)
+        symbols[stops - 1] += 256
+        begins, stops = [0, *stops.tolist()], stops.tolist()
+        out: list[int] = []
+        entry, at = (0, 0), 0
+        for block in range(0, len(symbols), BLOCK):  # so many chunks at once, whatever the stream's length
+            leaves, end = [], min(block + BLOCK, len(symbols))
+            for low in range(block, end, chunk):
+                high, first = min(low + chunk, end), at
+                while at < len(stops) and stops[at] <= high:
+                    at += 1
+                begin = begins[first]
+                guess = self.read(symbols[max(begin, low - WARM_UP) : low].tolist())[0] if begin < low else 0
+                leaves.append(_Chunk(self, symbols[low:high], [x - low for x in stops[first:at]], guess))
+            entries = _entries(leaves, entry)
+            for leaf, (state, before) in zip(leaves, entries, strict=True):
+                out += leaf.finished(state, before)
+            entry = _then(entries[-1], leaves[-1])
+        return out
+
+
+BLOCK = 1 << 20
+WARM_UP = 16
+
+
+class _Chunk:
+    """A chunk of the counter's stream as a map of states; stops: behind which of its symbols pre-tokens end."""
+
+    def __init__(self, counter: Counter, symbols: np.ndarray, stops: list[int], guess: int):
+        self.counter, self.resets = counter, bool(stops)
+        self.head = symbols[: stops[0]] if stops else symbols
+        symbols = symbols.tolist()
+        self.body = [counter.read(symbols[a:b])[1] for a, b in zip(stops, stops[1:], strict=False)]
+        self.tail = counter.read(symbols[stops[-1] :]) if stops else None
+        self.known = {guess: counter.read(self.head.tolist(), guess)}
+
+    def through_head(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            self.known[state] = self.counter.read(self.head.tolist(), state)
+        return self.known[state]
+
+    def apply(self, state: int) -> tuple[int, int]:
+        return self.tail if self.resets else self.through_head(state)
+
+    def finished(self, state: int, before: int) -> list[int]:
+        """Tokens of the pre-tokens that end here, if the chunk is entered in state, before tokens after the begin of a pre-token."""
+        return [before + self.through_head(state)[1], *self.body] if self.resets else []
+
+
+class _Joined:
+    """Two neighbouring maps as one. After a reset the tokens before it are done with."""
+
+    def __init__(self, left, right):
+        self.left, self.right, self.resets = left, right, left.resets or right.resets
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def apply(self, state: int) -> tuple[int, int]:
+        out = self.known.get(state)
+        if out is None:
+            out = self.known[state] = _then(self.left.apply(state), self.right)
+        return out
+
+
+def _then(entry: tuple[int, int], part) -> tuple[int, int]:
+    """State and tokens of the unfinished pre-token behind part, entered so."""
+    state, tokens = part.apply(entry[0])
+    return state, tokens if part.resets else entry[1] + tokens
+
+
+def _entries(leaves: list, entry: tuple[int, int]) -> list[tuple[int, int]]:
+    """State and tokens of the unfinished pre-token before each chunk, entry before the first: a prefix scan, up a tree of joined maps and down again."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        level = levels[-1]
+        levels.append([_Joined(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)])
+    entries = [entry]
+    for level in reversed(levels[:-1]):
+        entries = [entries[i // 2] if i % 2 == 0 else _then(entries[i // 2], level[i - 1]) for i in range(len(level))]
+    return entries
 
 
 class Texts:
@@ -256,8 +344,7 @@ class Texts:
         if len(self.counter.meanings) > self.counter.most_states:
             self.counter.clear()
         counts, new = self.memo.find(hashes)  # the slot of a pre-token is its count
-        raw = pieces.data.tobytes()
-        counts[new] = [self.counter.count(raw[s:e]) for s, e in zip(pieces.starts[at[new]].tolist(), pieces.ends[at[new]].tolist(), strict=True)]
+        counts[new] = self.counter.count(pieces.data, pieces.starts[at[new]], pieces.ends[at[new]])
         self.memo.slots.update(zip(hashes[new].tolist(), counts[new].tolist(), strict=True))
         sums = np.concatenate(([0], np.cumsum(counts[number])))[pieces.first]
         return special + np.bincount(owner, np.diff(sums), minlength=len(texts)).astype(np.int64)
