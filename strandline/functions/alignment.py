@@ -36,6 +36,37 @@ def gap_penalty(gap: Column) -> Column:
     return F.when(gap == 0, F.lit(0.0)).otherwise(gap * 0.1 + F.log2(gap) * 0.5)
 
 
+def seed_distance(qa: Column, ta: Column, qb: Column, tb: Column) -> Column:
+    """The larger of the distances of two seeds on query and target."""
+    return F.greatest(F.abs(qa - qb), F.abs(ta - tb))
+
+
+def seed_direction(ta: Column, tb: Column) -> Column:
+    """1 if the target goes on from b to a, -1 if it goes back."""
+    return F.when(ta >= tb, 1).otherwise(-1)
+
+
+def seed_gap(qa: Column, ta: Column, la: Column, qb: Column, tb: Column, lb: Column) -> Column:
+    """Difference of the distances on query and target; on the reverse strand the target is measured between the seeds' ends."""
+    return F.abs(F.abs(qa - qb) - F.when(ta >= tb, F.abs(ta - tb)).otherwise(F.abs(ta + la - tb - lb)))
+
+
+def linear_gap_penalty(gap: Column) -> Column:
+    """The penalty of the banded chaining: no logarithm."""
+    return gap * 0.1
+
+
+def seed_overlap(qa: Column, ta: Column, la: Column, qb: Column, tb: Column) -> Column:
+    """Bases that seed a, the one in front, shares with b on query or target, whichever are more; touching counts as one."""
+    on = lambda a, b: F.when((b >= a) & (b <= a + la), a + la - b + 1).otherwise(0)
+    return F.greatest(on(qa, qb), on(ta, tb))
+
+
+def good_region(score: Column, aligned: Column, identity: Column, min_score: float, min_aligned: int, min_identity: float = 15.0) -> Column:
+    """Thresholds of a chained region; whole genomes are compared with min_identity 0."""
+    return (score >= min_score) & (aligned >= min_aligned) & (identity >= min_identity)
+
+
 def share(part: Column, whole: Column) -> Column:
     """Per cent, 100 at most."""
     return F.least(F.lit(100.0), part / whole * 100)

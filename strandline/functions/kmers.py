@@ -64,6 +64,25 @@ def has_prefix(code: Column, of: Column, k: int, p: int) -> Column:
     return prefix(code, k, p) == prefix(of, k, p)
 
 
+def has_suffix(code: Column, of: Column, p: int) -> Column:
+    return suffix(code, p) == suffix(of, p)
+
+
+def inner(code: Column, k: int, after: int, p: int) -> Column:
+    """p bases behind the first after ones."""
+    return F.shiftright(code, 2 * (k - after - p)).bitwiseAND((1 << 2 * p) - 1)
+
+
+def repeated_a(seq: Column) -> Column:
+    """Places of A behind another A."""
+    return F.length(F.regexp_replace(seq, "[^A]+|(?<![A])A", ""))
+
+
+def low_complexity(code: Column, k: int, most: int = 50) -> Column:
+    """Whether a code is one base only or has a DUST score above most."""
+    return code.isin([homopolymer(b, k) for b in "ACGT"]) | (dust(decode(code, k)) > most)
+
+
 def mismatches(a: Column, b: Column) -> Column:
     """Bases in which two codes of equal length differ."""
     x = a.bitwiseXOR(b)

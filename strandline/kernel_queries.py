@@ -83,10 +83,10 @@ def _distances(spark, sf):
 _DISTANCES = "WITH p AS (SELECT DISTINCT l_suppkey AS grp, l_orderkey * 8 + l_linenumber AS pos FROM lineitem), d AS (SELECT grp, pos - lag(pos) OVER (PARTITION BY grp ORDER BY pos) AS distance FROM p)"
 
 
-@query(_DISTANCES + " SELECT grp, count(*) AS n, min(distance) AS least, max(distance) AS most, round(avg(distance), 6) AS mean, round(quantile_cont(distance, 0.25), 6) AS q25, round(quantile_cont(distance, 0.5), 6) AS q50, round(quantile_cont(distance, 0.75), 6) AS q75 FROM d WHERE distance IS NOT NULL GROUP BY grp")
+@query(_DISTANCES + " SELECT grp, count(*) AS n, min(distance) AS least, max(distance) AS most, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS stdev, round(quantile_cont(distance, 0.25), 6) AS q25, round(quantile_cont(distance, 0.5), 6) AS q50, round(quantile_cont(distance, 0.75), 6) AS q75 FROM d WHERE distance IS NOT NULL GROUP BY grp")
 def seed_distance_spread(spark, sf):
     s = intervals.spread(_distances(spark, sf), ["grp"], "distance")
-    return s.select("grp", "n", "least", "most", *(F.round(c, 6).alias(c) for c in ("mean", "q25", "q50", "q75")))
+    return s.select("grp", "n", "least", "most", *(F.round(c, 6).alias(c) for c in ("mean", "stdev", "q25", "q50", "q75")))
 
 
 @query(_DISTANCES + " SELECT grp, (distance // 100) * 100 AS bin, count(*) AS n FROM d WHERE distance IS NOT NULL GROUP BY ALL")

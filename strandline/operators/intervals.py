@@ -30,9 +30,9 @@ def roll_up(df: DataFrame, keys: list[str], start: str, end: str, matched: str,
 
 
 def spread(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """n, least, most, mean and exact quantiles (q25, ...) of value."""
+    """n, least, most, mean, population standard deviation and exact quantiles (q25, ...) of value."""
     cuts = [F.percentile(value, q).alias(f"q{round(q * 100)}") for q in quantiles]
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), *cuts)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"), *cuts)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, width: int) -> DataFrame:
@@ -51,11 +51,41 @@ def deserts(df: DataFrame, keys: list[str], pos: str, least: int) -> DataFrame:
     return d.where(F.col("before") - F.col("after") >= least)
 
 
-def sliding_counts(df: DataFrame, keys: list[str], pos: str, size: int, step: int) -> DataFrame:
-    """Places in each window [b, b + size), b a multiple of step; windows without any are left out."""
+def sliding_counts(df: DataFrame, keys: list[str], pos: str, size: int, step: int, gap: str | None = None, end: str | None = None) -> DataFrame:
+    """Places in each window [b, b + size), b a multiple of step; windows without any are left out. gap: a boolean column; windows with such a place are left
+    out as well. end: a column, the same in all rows of a key; windows that reach beyond it are left out."""
     first = F.greatest(F.lit(0), F.floor((F.col(pos) - size) / step) + 1) * step
-    at = df.select(*keys, F.explode(F.sequence(first.cast("long"), (F.floor(F.col(pos) / step) * step).cast("long"), F.lit(step).cast("long"))).alias("window_start"))
-    return at.groupBy(*keys, "window_start").agg(F.count(F.lit(1)).alias("n"))
+    extra = [c for c in (gap, end) if c]
+    at = df.select(*keys, *extra, F.explode(F.sequence(first.cast("long"), (F.floor(F.col(pos) / step) * step).cast("long"), F.lit(step).cast("long"))).alias("window_start"))
+    if end:
+        at = at.where(F.col("window_start") + size <= F.col(end))
+    out = at.groupBy(*keys, "window_start").agg(F.count(F.lit(1)).alias("n"), *([F.max(gap).alias("_gap")] if gap else []))
+    return out.where(~F.coalesce("_gap", F.lit(False))).drop("_gap") if gap else out
+
+
+def report_headers(df: DataFrame, query: str, genome: str, sequence: str, order: list[Column]) -> DataFrame:
+    """Where a report of a query's rows, in order, needs a new heading: new_query, new_genome, new_sequence, and the genome's number genome_no."""
+    w = Window.partitionBy(query).orderBy(*order)
+    before = lambda c: F.lag(c).over(w)
+    first = F.row_number().over(w) == 1
+    new_genome = first | ~F.col(genome).eqNullSafe(before(genome))
+    d = df.withColumns({"new_query": first, "new_genome": new_genome, "new_sequence": new_genome | ~F.col(sequence).eqNullSafe(before(sequence))})
+    return d.withColumn("genome_no", F.sum(F.col("new_genome").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def matched_share(queries: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """One row: total queries, those matched by any hit, and their share in per cent."""
+    found = queries.select(key).join(hits.select(key, F.lit(1).alias("_hit")).distinct(), key, "left")
+    sums = found.agg(F.count(F.lit(1)).alias("total"), F.count("_hit").alias("matched"))
+    return sums.withColumn("share", F.when(F.col("total") > 0, alignment.share(F.col("matched"), F.col("total"))))
+
+
+def screening_windows(df: DataFrame, length: str, windows: int) -> DataFrame:
+    """(window, start, end) of each row, 0-based and half open: windows of two steps, each one step behind the last; the last reaches the end, a single one is all."""
+    step = F.floor(F.col(length) / (windows + 1))
+    d = df.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    end = F.when(F.col("window") == windows - 1, F.col(length)).otherwise((F.col("window") + 2) * step)
+    return d.withColumns({"start": (F.col("window") * step).cast("long"), "end": end.cast("long")})
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

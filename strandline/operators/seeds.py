@@ -193,6 +193,56 @@ def screen(matches: DataFrame, query: str, genome: str, mask: str, n_masks: int)
     return best.groupBy(query, genome).agg(F.count(F.lit(1)).alias("nMasks"), (F.count(F.lit(1)) / n_masks).alias("fracMasks"), F.sum("len").alias("sumPrefix"), F.avg("len").alias("avgPrefix"), F.array_join(F.sort_array(F.collect_list("len"), asc=False), ",").alias("prefixes"))
 
 
+def screen_masks(matches: DataFrame, query: str, genome: str, mask: str) -> DataFrame:
+    """(query, genome, mask, hits, longest, score): matches of each mask (255 at most), its longest prefix, and the bases of all its matches; score sums up
+    over the masks to that of the genome."""
+    hits = F.least(F.count(F.lit(1)), F.lit(255)).alias("hits")
+    return matches.groupBy(query, genome, mask).agg(hits, F.max("len").alias("longest"), F.sum("len").alias("score"))
+
+
+def not_low(df: DataFrame, code: str, k: int) -> DataFrame:
+    """Rows whose k-mer is neither one base only nor low in complexity."""
+    return df.where(~kmers.low_complexity(F.col(code), k))
+
+
+def prefix_groups(df: DataFrame, code: str, k: int, p: int) -> DataFrame:
+    """(prefix, n, first, last, common): distinct k-mers by their first p bases, two or more each, and the bases that all of a group share. Least and
+    greatest code settle the latter, so no pair is formed."""
+    g = df.select(code).distinct().groupBy(kmers.prefix(F.col(code), k, p).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min(code).alias("first"), F.max(code).alias("last"))
+    return g.where("n > 1").withColumn("common", kmers.common_prefix(F.col("first"), F.col("last"), k))
+
+
+def regroup_chunks(df: DataFrame, genome: str, chunks: DataFrame, sums: list[str]) -> DataFrame:
+    """Rows of a genome's chunks as one row of the genome. chunks: (genome, chunk_group); a genome that is not in it stands for itself."""
+    named = df.join(chunks.select(genome, "chunk_group"), genome, "left").withColumn(genome, F.coalesce("chunk_group", genome))
+    return named.groupBy(genome).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in sums))
+
+
+def ranked_ani(df: DataFrame, query: str, genome: str, ani: str = "ani", afq: str = "afq", afs: str = "afs") -> DataFrame:
+    """rank of each genome of a query: by identity, then the query's and the subject's aligned fraction, all descending, then the genome."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(ani), F.desc(afq), F.desc(afs), genome)))
+
+
+def sized(df: DataFrame, length: str, least: int = 0, most: int = 0) -> DataFrame:
+    """Genomes of at least least bases (a fragment's size, say) and at most most, if that is given."""
+    kept = df.where(F.col(length) >= least)
+    return kept.where(F.col(length) <= most) if most else kept
+
+
+def subseq_joined(contigs: DataFrame, regions: DataFrame, genome: str, order: str, seq: str, gap: int = 0) -> DataFrame:
+    """regions (genome, start, end; 0-based, inclusive, in the coordinates of the genome's contigs joined in order with gap N between two) with subseq. Bounds are
+    clamped to the genome; a region beyond it gets an empty text. Each contig gives its own part, so that no genome is put together."""
+    w = Window.partitionBy(genome).orderBy(order)
+    last = F.lead(order).over(w).isNull()
+    part = contigs.select(genome, order, F.when(last, F.col(seq)).otherwise(F.concat(F.col(seq), F.lit("N" * gap))).alias("_part"))
+    part = part.withColumn("_at", F.coalesce(F.sum(F.length("_part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = regions.join(part, genome)
+    from_, to = F.greatest(F.col("start"), F.lit(0), F.col("_at")), F.least(F.col("end"), F.col("_at") + F.length("_part") - 1)
+    piece = F.when(from_ <= to, F.substring(F.col("_part"), (from_ - F.col("_at") + 1).cast("int"), (to - from_ + 1).cast("int"))).otherwise("")
+    pieces = both.groupBy(*regions.columns).agg(F.sort_array(F.collect_list(F.when(piece != "", F.struct(F.col("_at"), piece.alias("p"))))).alias("_p"))
+    return pieces.select(*regions.columns, F.array_join("_p.p", "").alias("subseq"))
+
+
 def pairs(seeds: DataFrame, genome: str, mask: str, k: int, p: int, n_masks: int, min_fraction: float) -> DataFrame:
     """Genome pairs with g1 < g2 that share seeds of p bases in enough masks. Exact: nothing is pruned early."""
     s = seeds.select(genome, mask, "kmer").distinct().withColumn("prefix", kmers.prefix(F.col("kmer"), k, p))

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from strandline import kernel_queries, queries  # noqa: F401
+from strandline import feature_queries, kernel_queries, queries  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 
