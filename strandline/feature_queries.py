@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import alignment, kmers, sizes, sql
 from strandline.operators import intervals, seeds
+from strandline.plans import search
 from strandline.queries import _GENOMES, genomes, items, query, table
 
 #: Seeds of an order: places from the keys, length from the quantity, each with the line before it.
@@ -147,3 +148,14 @@ def sql_scores(spark, sf):
     sql.register(spark)
     cigar = "concat(l_linenumber, 'X9=', CAST(l_quantity AS BIGINT), 'D7=')"
     return spark.sql(f"SELECT l_orderkey, l_linenumber, round(bit_score(l_quantity), 6) AS bits, round(e_value(l_linenumber, l_quantity, 1000000), 4) AS e, cigar_edit_distance({cigar}) AS edits, kmer_lcp(l_orderkey, l_partkey, 31) AS lcp FROM {{t}}", t=table(spark, sf, "lineitem"))
+
+
+def _sides(spark, sf):
+    name = lambda df, key, prefix: df.select(F.concat(F.lit(prefix), key).alias("genome_id"), F.lit(0).alias("seq_idx"), "seq")
+    return name(items(spark, sf), "item_id", "item"), name(genomes(spark, sf).where("seq IS NOT NULL"), "doc_id", "doc")
+
+
+@query()
+def genome_ani_sampled(spark, sf):
+    """Benchmark items against documents: identity and aligned fractions by sampled k-mers."""
+    return search.sampled_ani(*_sides(spark, sf))

@@ -123,6 +123,11 @@ def suffix_matches(a: Column, b: Column, k: int) -> Column:
     return (F.lit(k) - common_prefix(a, b, k) - mismatches(a, b)).cast("int")
 
 
+def text_of(code: int, k: int) -> str:
+    """decode() of one code."""
+    return "".join("ACGT"[code >> 2 * i & 3] for i in range(k - 1, -1, -1))
+
+
 def dust_of(seq: str) -> int:
     """dust() of one text."""
     return sum(c * (c - 1) // 2 for c in Counter(seq[i : i + 3] for i in range(len(seq) - 2)).values())

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from strandline.functions import kmers
 
 
+#: A k-mer with a higher DUST score is low in complexity.
+MAX_DUST = 50
+
+
 def generate_masks(spark: SparkSession, k: int, n: int, seed: int = 1) -> DataFrame:
     """masks(mask_id, code): every p-mer with 4**p <= n as a prefix in turn, with random tails; all different."""
     p = 0
@@ -101,7 +105,9 @@ def _index_seeds(batches, k, masks, gap, step, reach):
         out = []
         for row, seq in enumerate(batch.column(1).to_pylist()):
             found = captured(seq, k, masks)
-            found = [x[~np.isin(found[1], flat)] for x in found]
+            code, which = np.unique(found[1], return_inverse=True)
+            low = np.array([kmers.dust_of(kmers.text_of(c, k)) > MAX_DUST for c in code.tolist()], bool)[which]
+            found = [x[~(low | np.isin(found[1], flat))] for x in found]
             more = desert_seeds(seq or "", np.unique(found[2]).tolist(), k, masks, gap, step, reach)
             if more:
                 found = [np.concatenate((x, np.array(y, x.dtype))) for x, y in zip(found, zip(*more, strict=True), strict=True)]
@@ -116,14 +122,14 @@ def _index_seeds(batches, k, masks, gap, step, reach):
 
 
 def index_seeds(df: DataFrame, id_col: str, seq_col: str, masks: DataFrame, k: int, gap: int = 100, step: int = 50, reach: int = 25) -> DataFrame:
-    """(id, mask_id, kmer, pos, rc, rev): captured seeds without homopolymers, those that desert_seeds() adds, and the reversed copies of both (rev),
+    """(id, mask_id, kmer, pos, rc, rev): captured seeds without homopolymers and low complexity, those that desert_seeds() adds, and the reversed copies of both (rev),
     for suffix matches. A sequence's seeds depend on it alone: one pass, no shuffle."""
     packed = packed_masks(masks)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, seq_col).mapInArrow(lambda b: _index_seeds(b, k, packed, gap, step, reach), f"id {kind}, mask_id int, kmer long, pos long, rc boolean, rev boolean").withColumnRenamed("id", id_col)
 
 
-def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, np.ndarray], gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = 50):
+def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, np.ndarray], gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = MAX_DUST):
     """Seeds (mask, kmer, pos, rc) for stretches of at least gap bases without any. Around each stretch the masks capture anew; every step bases the
     nearest captured k-mer within reach bases, back first, is taken: forward strand before reverse, no homopolymers or low complexity."""
     last, out = len(seq) - k, []

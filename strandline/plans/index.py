@@ -142,8 +142,14 @@ class Index:
         out = intervals.gaps_to_previous(rows, ["genome_id", "seq_idx"], "pos")
         return out.where(F.coalesce("distance", F.lit(0)) >= min_distance)
 
-    def seed_window_counts(self, size: int = 250, step: int = 100) -> DataFrame:
-        return intervals.sliding_counts(self.places().select("genome_id", "seq_idx", "pos").distinct(), ["genome_id", "seq_idx"], "pos", size, step)
+    def seed_window_counts(self, size: int = 250, step: int = 100, max_gap: int = 0) -> DataFrame:
+        """Seeds in the windows of each contig. max_gap: windows with a seed that stands further than that behind the one before are left out."""
+        places = self.places().select("genome_id", "seq_idx", "pos").distinct()
+        keys = ["genome_id", "seq_idx"]
+        if not max_gap:
+            return intervals.sliding_counts(places, keys, "pos", size, step)
+        wide = F.coalesce(F.col("distance") > max_gap, F.lit(False))
+        return intervals.sliding_counts(intervals.gaps_to_previous(places, keys, "pos").withColumn("gap", wide), keys, "pos", size, step, "gap")
 
     def subseq(self, regions: DataFrame) -> DataFrame:
         """regions(genome_id, seq_id, start, end, strand), from 1: with the subsequence, ends cut at the contig's."""
@@ -157,6 +163,23 @@ class Index:
         regions = hsps.select(F.col("sgenome").alias("genome_id"), F.col("sseqid").alias("seq_id"), (F.least("sstart", "send") - F.when(forward, up).otherwise(down)).alias("start"), (F.greatest("sstart", "send") + F.when(forward, down).otherwise(up)).alias("end"), F.col("sstr").alias("strand"))
         return self.subseq(regions)
 
+    def search(self, queries: DataFrame, options=None) -> DataFrame:
+        """Alignments of queries(query, seq): see plans.search.search()."""
+        from strandline.plans import search
+
+        return search.search(self, queries, options or search.SearchOptions())
+
+    def genome_search(self, genomes: DataFrame, mode: str = "sampled", **options) -> DataFrame:
+        """Genomes (contigs) against this index: see plans.search.genome_search()."""
+        from strandline.plans import search
+
+        return search.genome_search(self, genomes, mode, **options)
+
+    def pair(self, min_prefix: int = 17, min_fraction: float = 0.01) -> DataFrame:
+        """Pairs of this index's genomes that share seeds, those with most masks first."""
+        out = seeds.pairs(self.places(), "genome_id", "mask_id", self.options.k, min_prefix, self.options.masks, min_fraction)
+        return out.orderBy(F.desc("nMasks"), F.desc("sumPrefix"), "g1", "g2")
+
     def rename_genomes(self, pattern: str, replacement: str) -> Index:
         new: Column = F.substring(F.regexp_replace("genome_id", pattern, replacement), 1, 65535)
         named = F.when(F.length(new) > 0, new).otherwise(F.raise_error(F.lit("a genome would have an empty id")))

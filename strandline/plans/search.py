@@ -234,6 +234,121 @@ def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70,
     return out.where((F.col("qAF") >= min_fraction) & (F.col("ANI") >= min_ani))
 
 
+_SAMPLED_SCHEMA = "frag string, genome_id string, seq_idx int, rc boolean, qb int, qe int, tb int, te int, n int"
+
+
+def sampled_anchors(frags: DataFrame, contigs: DataFrame, k: int = 13, scale: int = 4, most: int = 100) -> DataFrame:
+    """(frag, genome_id, seq_idx, rc, q, t): sampled canonical k-mers of fragments(frag, seq) in contigs, of each k-mer the first most places of a genome. On the
+    reverse strand t counts from the contig's end. If the fragments have few distinct k-mers (counted first), the contigs' others are dropped where they stand."""
+    canon = {"canon": F.least("kmer", "rc"), "back": F.col("kmer") > F.col("rc")}
+    q = kmers.explode_kmers(frags, "frag", "seq", k, scale)
+    both = q.select("kmer").union(q.select("rc"))
+    s = kmers.explode_kmers(contigs.select(F.struct("genome_id", "seq_idx", F.length("seq").alias("n")).alias("id"), "seq"), "id", "seq", k, scale, only=kmers.sorted_codes(both))
+    s = s.withColumns(canon).select("canon", "id.*", "pos", F.col("back").alias("s_back"))
+    s = seeds.first_places(s, ["genome_id", "canon"], ["seq_idx", "pos"], most)
+    rc = F.col("back") != F.col("s_back")
+    t = F.when(rc, F.col("n") - F.col("s_pos") - k).otherwise(F.col("s_pos"))
+    return q.withColumns(canon).select("frag", "pos", "canon", "back").join(s.withColumnRenamed("pos", "s_pos"), "canon").select("frag", "genome_id", "seq_idx", rc.alias("rc"), F.col("pos").cast("int").alias("q"), t.cast("int").alias("t"))
+
+
+def sampled_ani(a: DataFrame, b: DataFrame, size: int = 1020, k: int = 13, scale: int = 4, most: int = 100, top_chains: int = 5, min_length: int = 50, min_identity: float = 70, min_coverage: float = 15, max_evalue: float = 1e-15) -> DataFrame:
+    """(query, subject, ANI, qAF, sAF, fragments, matches): fragments of the genomes of a, placed on the contigs of b by sampled k-mers. A fragment's best chains in
+    a genome, with half a fragment around them, are aligned; the one with most matched times aligned bases counts. Fractions and ANI are in per cent.
+    A pair without an aligned fragment has no row."""
+    name = F.concat_ws("|", "genome_id", "frag")
+    fa = fragments(a, size).select(name.alias("frag"), F.col("genome_id").alias("query"), "seq", "frag_len")
+    found = sampled_anchors(fa.select("frag", "seq"), b, k, scale, most)
+    keys = ["frag", "genome_id", "seq_idx", "rc"]
+
+    def chain(batches):
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out = []
+        for key, group in groupby(rows, key=lambda r: r[:4]):
+            anchors = np.array([(*r[4:], k) for r in group], np.int64)
+            out += [(*key, *map(int, region)) for region in chaining.chain_regions(anchors, min_length=min_length)]
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SAMPLED_TYPES, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SAMPLED_TYPES, strict=True)], names)
+
+    names = [c.split()[0] for c in _SAMPLED_SCHEMA.split(", ")]
+    chained = dealt(found, *keys).sortWithinPartitions(*keys, "q", "t").mapInArrow(chain, _SAMPLED_SCHEMA)
+    chained = intervals.top(chained, ["frag", "genome_id"], [F.desc("n"), F.col("seq_idx"), F.col("rc"), F.col("qb"), F.col("tb")], top_chains)
+    sizes_b = b.groupBy("genome_id").agg(F.sum(F.length("seq")).alias("ssize"))
+    n, low, high = F.length("seq"), F.greatest(F.lit(0), F.col("tb") - size // 2), F.col("te") + size // 2
+    begin = F.when(F.col("rc"), F.greatest(F.lit(0), n - high)).otherwise(low)
+    end = F.when(F.col("rc"), n - low).otherwise(F.least(n, high))
+    windows = chained.join(b.select("genome_id", "seq_idx", "seq"), ["genome_id", "seq_idx"]).select("frag", "genome_id", "rc", F.substring(F.col("seq"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("window"))
+    windows = windows.join(fa.select("frag", "query", F.col("seq").alias("qseq"), "frag_len"), "frag").join(sizes_b, "genome_id")
+    schema = "frag string, query string, genome_id string, frag_len int, ssize long, matches int, aligned int, columns int"
+
+    def align(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                t = r.window.translate(_COMPLEMENT)[::-1] if r.rc else r.window
+                for *region, _ in shared_regions(r.qseq, t, min_length)[:2]:
+                    qb, qe, tb, te = chaining.extended(r.qseq, t, tuple(region))
+                    _, matches, gaps, opens = chaining.align(r.qseq[qb:qe], t[tb:te])
+                    columns = (qe - qb + te - tb + gaps) // 2
+                    score = 2 * matches - 3 * (columns - matches - gaps) - 5 * opens - 2 * gaps
+                    bit = ((score - score % 2) * alignment.LAMBDA - np.log(alignment.K)) / np.log(2)
+                    if r.ssize * 2.0**-bit * (qe - qb) <= max_evalue:
+                        rows.append((r.frag, r.query, r.genome_id, r.frag_len, r.ssize, matches, columns - gaps, columns))
+                        break
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    aligned = dealt(windows, "frag", "genome_id").mapInPandas(align, schema).withColumn("pident", alignment.share(F.col("matches"), F.col("columns")))
+    aligned = aligned.where((F.col("pident") >= min_identity) & (F.col("aligned") * 100 >= min_coverage * F.col("frag_len")))
+    best = aligned.groupBy("frag", "query", "genome_id", "ssize").agg(F.max_by(F.struct("pident", "aligned", "matches"), F.struct((F.col("matches").cast("long") * F.col("aligned")).alias("v"), "pident")).alias("x"))
+    sums = best.groupBy("query", F.col("genome_id").alias("subject"), "ssize").agg(F.avg("x.pident").alias("ANI"), F.sum("x.aligned").alias("aligned"), F.count(F.lit(1)).alias("fragments"), F.sum("x.matches").alias("matches"))
+    out = sums.join(fa.groupBy("query").agg(F.sum("frag_len").alias("qsize")), "query")
+    return out.select("query", "subject", "ANI", alignment.share(F.col("aligned"), F.col("qsize")).alias("qAF"), alignment.share(F.col("aligned"), F.col("ssize")).alias("sAF"), "fragments", "matches")
+
+
+_SAMPLED_TYPES = [pa.string(), pa.string(), pa.int32(), pa.bool_(), *[pa.int32()] * 5]
+
+
+def compare(a: DataFrame, b: DataFrame, mode: str = "sampled", **options) -> DataFrame:
+    """(query, subject, ANI, qAF, sAF, tANI) of genomes of a and b (contigs). sampled: fragments of each side on the other; sAF and the matches of tANI are those of the
+    way back. orthoani: mutual best fragments, see ani()."""
+    if mode == "orthoani":
+        return ani(a, b, **options)
+    if mode != "sampled":
+        raise ValueError("mode must be sampled or orthoani")
+    size = lambda x, c: x.groupBy(F.col("genome_id").alias(c)).agg(F.sum(F.length("seq")).alias(f"n_{c}"))
+    there = sampled_ani(a, b, **options)
+    back = sampled_ani(b, a, **options).select(F.col("subject").alias("query"), F.col("query").alias("subject"), F.col("qAF").alias("back"), F.col("matches").alias("m2"))
+    both = there.join(back, ["query", "subject"], "left").join(size(a, "query"), "query").join(size(b, "subject"), "subject")
+    total = (F.col("matches") + F.coalesce("m2", F.lit(0))) * 100 / (F.col("n_query") + F.col("n_subject"))
+    return both.select("query", "subject", "ANI", "qAF", F.coalesce("back", F.lit(0.0)).alias("sAF"), total.alias("tANI"))
+
+
+def screen(index: Index, genomes: DataFrame, min_prefix: int = 17, min_fraction: float = 0.01, top: int = 10) -> DataFrame:
+    """Genomes of the index that share seeds with genomes (contigs), by masks: see seeds.screen(), with rank. The masks capture from each query contig."""
+    k = index.options.k
+    q = genomes.where(F.length("seq") >= k).select(F.struct("genome_id", "seq_idx").alias("id"), "seq")
+    found = seeds.capture(q, "id", "seq", index.mask_rows, k).select(F.col("id.genome_id").alias("query"), "mask_id", "kmer").distinct()
+    found = seeds.not_low(found, "kmer", k)
+    known = index.places().select("mask_id", "kmer", "genome_id").distinct()
+    hits = seeds.match(found, known, k, min_prefix, ["mask_id"]).withColumnRenamed("s_genome_id", "subject")
+    out = seeds.screen(hits, "query", "subject", "mask_id", index.options.masks).where(F.col("fracMasks") >= min_fraction)
+    return intervals.top(out, ["query"], [F.desc("sumPrefix"), F.col("subject")], top)
+
+
+def genome_search(index: Index, genomes: DataFrame, mode: str = "sampled", **options) -> DataFrame:
+    """Genomes (contigs) against an index. screen: shared seeds alone. sampled, orthoani: those pairs' ANI and aligned fractions, ranked."""
+    if mode == "screen":
+        return screen(index, genomes, **options)
+    if mode not in ("sampled", "orthoani"):
+        raise ValueError("mode must be sampled, orthoani or screen")
+    near = screen(index, genomes, top=options.pop("top", 10)).select("query", "subject")
+    subjects = index.contigs.join(near.select(F.col("subject").alias("genome_id")).distinct(), "genome_id", "left_semi")
+    out = (sampled_ani if mode == "sampled" else ani)(genomes, subjects, **options).join(near, ["query", "subject"], "left_semi")
+    return seeds.ranked_ani(out, "query", "subject", "ANI", "qAF", "sAF")
+
+
 def merge_results(*tables: DataFrame, query: str | None = None) -> DataFrame:
     """Results of several indexes in one: hits are added up, genomes ordered by their best alignment."""
     out = tables[0]
