@@ -186,9 +186,14 @@ def fragments(genomes: DataFrame, size: int = 1020, least: int = 100) -> DataFra
 
 def fragment_pairs(a: DataFrame, b: DataFrame, k: int = 11, scale: int = 4, least: int = 3, top: int = 5) -> DataFrame:
     """(frag_a, frag_b, shared): fragments of two sides with sampled canonical k-mers in common, for each of a the best top of each genome of b."""
-    name = lambda x: F.concat_ws("|", "genome_id", "frag")
-    side = lambda x, c: kmers.explode_kmers(x.select(name(x).alias(c), "seq"), c, "seq", k, scale).select(c, F.least("kmer", "rc").alias("canon")).distinct()
-    both = side(a, "frag_a").join(side(b, "frag_b"), "canon").groupBy("frag_a", "frag_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    name = lambda x, c: x.select(F.concat_ws("|", "genome_id", "frag").alias(c), "seq")
+    canon = F.least("kmer", "rc").alias("canon")
+    of_a = kmers.explode_kmers(name(a, "frag_a"), "frag_a", "seq", k, scale)
+    # If a has few distinct k-mers (counted first), b's others are dropped where they stand.
+    known = kmers.sorted_codes(of_a.select("kmer").union(of_a.select("rc")))
+    of_b = kmers.explode_kmers(name(b, "frag_b"), "frag_b", "seq", k, scale, only=known)
+    both = of_a.select("frag_a", canon).distinct().join(of_b.select("frag_b", canon).distinct(), "canon")
+    both = both.groupBy("frag_a", "frag_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     # A fragment's own name holds no "|", so what stands before the last one is the genome.
     both = both.withColumn("genome", F.regexp_replace("frag_b", "\\|[^|]*$", ""))
     return intervals.top(both, ["frag_a", "genome"], [F.desc("shared"), F.col("frag_b")], top).drop("genome")
