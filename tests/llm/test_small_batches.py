@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from strandline.llm import exchange
+from strandline.llm import exchange, suffix_dedup
 
 
 def test_blocks_leave_in_small_batches():
@@ -52,3 +53,23 @@ def test_groups_are_read_in_small_batches(spark, monkeypatch):
     groups = exchange.packed(docs)
     assert spark.conf.get(key) == before
     assert sum(len(r["rows"]) for r in groups.collect()) == 40
+
+
+@pytest.mark.parametrize("module, step, run", [(suffix_dedup, "_tied", suffix_dedup.removals), (suffix_dedup, "_digest", suffix_dedup.removals)])
+def test_groups_meet_their_answers_in_small_batches(spark, monkeypatch, module, step, run):
+    made, most = getattr(module, step), exchange.GROUP_BYTES + exchange.BATCH_BYTES
+
+    def watched(batches, **how):
+        for batch in batches:
+            if batch.nbytes > 1.5 * most:
+                raise ValueError(f"a batch of {batch.nbytes} bytes")
+            yield from made([batch], **how)
+
+    monkeypatch.setattr(module, step, watched)
+    docs = spark.range(0, 40, 1, 4).selectExpr("id doc_id", "repeat(concat(char(cast(97 + id % 26 as int)), ' '), 500000) text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert run(docs).count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
