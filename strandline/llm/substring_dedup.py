@@ -11,14 +11,14 @@ empty table gives none.
 from __future__ import annotations
 
 import hashlib
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from strandline.llm import bytescan, exchange
+from strandline.llm.storage import discard
 
 WINDOW_WORDS = 35
 #: Windows are counted in so many rounds, each with a share of the buckets, so that one round's windows are on disk at a time.
@@ -96,25 +96,26 @@ def _rewrite(batches, size: int):
         yield pa.RecordBatch.from_arrays([fresh if n == "text" else rows.field(k) for k, n in enumerate(names)], names)
 
 
-def _answered(docs: DataFrame, size: int, bucket_bytes: int) -> DataFrame:
-    """Groups of documents with the numbers of their repeated windows."""
+def _made(docs: DataFrame, size: int, bucket_bytes: int, make, schema, label: str) -> DataFrame:
+    """What make gives of the groups of documents with the numbers of their repeated windows, in the shared folder: a lazy result would run with batches of any size."""
     total = exchange.text_bytes(docs)
     groups = exchange.packed(docs)
     found = [exchange.repeated(groups, partial(_strings, size=size), total, share=(k, ROUNDS), bucket_bytes=bucket_bytes) for k in range(ROUNDS)]
-    numbers = reduce(DataFrame.union, found).groupBy("grp").agg(F.collect_list("numbers").alias("numbers"))
-    return groups.join(numbers.hint("shuffle_hash"), "grp", "left")
+    out = exchange.in_small_batches(exchange.answered(groups, found, total).mapInArrow(partial(make, size=size), schema), label)
+    discard(groups, *found)
+    return out
 
 
 def removals(docs: DataFrame, window_words: int = WINDOW_WORDS, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """Of documents (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _answered(docs.select("doc_id", "text"), window_words, bucket_bytes).mapInArrow(partial(_digest, size=window_words), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _made(docs.select("doc_id", "text"), window_words, bucket_bytes, _digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", "digests")
 
 
 def remove_repeats(docs: DataFrame, window_words: int = WINDOW_WORDS, bucket_bytes: int = exchange.BUCKET_BYTES) -> DataFrame:
     """docs with the removed words cut out of text, each with the blanks behind it; texts that lose nothing stay as they are, byte for byte.
     A text all of whose words go becomes empty. All columns of docs are returned in their order."""
-    return _answered(docs, window_words, bucket_bytes).mapInArrow(partial(_rewrite, size=window_words), docs.schema)
+    return _made(docs, window_words, bucket_bytes, _rewrite, docs.schema, "rewritten")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import exchange, suffix_dedup
+from strandline.llm import exchange, substring_dedup, suffix_dedup
 
 
 def test_blocks_leave_in_small_batches():
@@ -55,7 +55,7 @@ def test_groups_are_read_in_small_batches(spark, monkeypatch):
     assert sum(len(r["rows"]) for r in groups.collect()) == 40
 
 
-@pytest.mark.parametrize("module, step, run", [(suffix_dedup, "_tied", suffix_dedup.removals), (suffix_dedup, "_digest", suffix_dedup.removals)])
+@pytest.mark.parametrize("module, step, run", [(substring_dedup, "_digest", substring_dedup.removals), (substring_dedup, "_rewrite", substring_dedup.remove_repeats), (suffix_dedup, "_tied", suffix_dedup.removals), (suffix_dedup, "_digest", suffix_dedup.removals)])
 def test_groups_meet_their_answers_in_small_batches(spark, monkeypatch, module, step, run):
     made, most = getattr(module, step), exchange.GROUP_BYTES + exchange.BATCH_BYTES
 
