@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,8 @@ from strandline.functions import kmers
 
 #: A k-mer with a higher DUST score is low in complexity.
 MAX_DUST = 50
+#: Seeds (some 40 bytes each) that a task of Python holds before it passes them on.
+HELD_ROWS = 100_000
 
 
 def generate_masks(spark: SparkSession, k: int, n: int, seed: int = 1) -> DataFrame:
@@ -26,14 +30,14 @@ def generate_masks(spark: SparkSession, k: int, n: int, seed: int = 1) -> DataFr
     return spark.createDataFrame([(i, c) for c, i in found.items()], "mask_id int, code long")
 
 
-def captured(seq: str | None, k: int, masks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(mask, kmer, pos, rc) of one sequence: for each mask the k-mers of either strand with the least XOR."""
+def captured(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, masks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(mask, kmer, pos, rc) of one sequence, given its kmers.codes(): for each mask the k-mers of either strand with the least XOR."""
     ids, code = masks
-    at, fwd, rev = kmers.codes((seq or "").encode(), k)
+    at, fwd, rev = found
     if not len(at):
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
     value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)), np.repeat([False, True], len(at))
-    order = np.lexsort((pos, rc, value))
+    order = np.argsort(value)
     value, pos, rc = value[order], pos[order], rc[order]
     low, high = least_xor(value, code, 2 * k)
     n = high - low
@@ -41,36 +45,71 @@ def captured(seq: str | None, k: int, masks: tuple[np.ndarray, np.ndarray]) -> t
     return np.repeat(ids, n), value[pick], pos[pick], rc[pick]
 
 
-def _rows(batch, out: list, names: list[str]):
-    """A batch of rows (row number, mask, kmer, pos, rc, ...) with the ids of the rows they come from."""
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], names)
+class Held:
+    """Rows (row number, mask, kmer, pos, rc, ...) with the ids of the rows of batch that they come from. They go on by HELD_ROWS, so that memory doesn't follow the rows or
+    texts that Spark puts into a batch."""
+
+    def __init__(self, batch: pa.RecordBatch, names: list[str]):
+        self.batch, self.names, self.out, self.n = batch, names, [], 0
+
+    def add(self, *parts: tuple[np.ndarray, ...]):
+        self.out += parts
+        self.n += sum(len(x[0]) for x in parts)
+        if self.n >= HELD_ROWS:
+            yield from self.rest()
+
+    def rest(self):
+        if self.out:
+            cols = [np.concatenate(x) for x in zip(*self.out, strict=True)]
+            yield pa.RecordBatch.from_arrays([self.batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], self.names)
+        self.out, self.n = [], 0
 
 
 def _capture(batches, k, masks):
     for batch in batches:
-        out = [(np.full(len(found[0]), row), *found) for row, s in enumerate(batch.column(1).to_pylist()) for found in [captured(s, k, masks)]]
-        if out:
-            yield _rows(batch, out, ["id", "mask_id", "kmer", "pos", "rc"])
+        out = Held(batch, ["id", "mask_id", "kmer", "pos", "rc"])
+        for row, s in enumerate(batch.column(1)):
+            found = captured(kmers.codes((s.as_py() or "").encode(), k), k, masks)
+            yield from out.add((np.full(len(found[0]), row), *found))
+        yield from out.rest()
+
+
+#: Ranges of so many codes are compared one by one.
+_FEW = 16
 
 
 def least_xor(value: np.ndarray, target: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each target, the range of value (sorted, not empty) with the least XOR: bit by bit the part that agrees, if there is one."""
+    """For each target, the range of value (sorted, not empty, codes of bits bits) with the least XOR: where a range still differs, the part that has the target's
+    first differing bit."""
     low, high = np.zeros(len(target), np.int64), np.full(len(target), len(value))
-    for bit in range(bits - 1, -1, -1):
-        want = (target >> bit) & 1
-        edge = np.searchsorted(value, _split(value, low, bit))  # first of the range with this bit set
-        has = np.where(want == 1, edge < high, edge > low)
-        low, high = np.where(has & (want == 1), edge, low), np.where(has & (want == 0), edge, high)
+    most = min(len(value).bit_length() - 1, bits)
+    for n in range(2 - most % 2, most + 1, 2):  # codes that share the target's first n bits, if there are any
+        begin = target >> bits - n << bits - n
+        edge = np.searchsorted(value, np.concatenate((begin, begin + (1 << bits - n))))
+        a, b = edge[: len(target)], edge[len(target) :]
+        low, high = np.where(b > a, a, low), np.where(b > a, b, high)
+    wide = lambda at: at[(high[at] - low[at] > _FEW) & (value[low[at]] != value[high[at] - 1])]
+    at = wide(np.arange(len(target)))
+    while len(at):
+        last = value[high[at] - 1]
+        top = value[low[at]] ^ last
+        for shift in (1, 2, 4, 8, 16, 32):
+            if shift < bits:
+                top |= top >> shift
+        top ^= top >> 1  # the highest bit in which the range differs
+        edge = np.searchsorted(value, last & -top)  # first of the range with this bit set
+        upper = target[at] & top != 0
+        low[at[upper]], high[at[~upper]] = edge[upper], edge[~upper]
+        at = wide(at)
+    at = np.flatnonzero(value[low] != value[high - 1])
+    place = low[at, None] + np.arange(_FEW)
+    other = value[np.minimum(place, high[at, None] - 1)] ^ target[at, None]
+    least = other == other.min(1, keepdims=True)
+    low[at] += least.argmax(1)
+    high[at] = low[at] + (least & (place < high[at, None])).sum(1)
     return low, high
 
 
-def _split(value: np.ndarray, low: np.ndarray, bit: int) -> np.ndarray:
-    """In a range of codes that agree above bit: the least code that has it set."""
-    at = np.minimum(low, len(value) - 1)
-    return (value[at] >> (bit + 1) << 1 | 1) << bit
-
-
 def packed_masks(masks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids and codes. A mask table has some 10,000 rows at most, whatever the genomes."""
     rows = masks.select("mask_id", "code").orderBy("mask_id").collect()
@@ -100,25 +139,27 @@ def reversed_seeds(found: DataFrame, masks: DataFrame, k: int) -> DataFrame:
 
 
 def _index_seeds(batches, k, masks, gap, step, reach):
-    flat = np.array([kmers.homopolymer(b, k) for b in "ACGT"])
+    flat = np.array([kmers.homopolymer(b, k) for b in "ACGT" if (k - 2) * (k - 3) // 2 <= MAX_DUST])  # longer ones are low in complexity anyway
     for batch in batches:
-        out = []
-        for row, seq in enumerate(batch.column(1).to_pylist()):
-            found = captured(seq, k, masks)
-            code, which = np.unique(found[1], return_inverse=True)
-            low = np.array([kmers.dust_of(kmers.text_of(c, k)) > MAX_DUST for c in code.tolist()], bool)[which]
-            found = [x[~(low | np.isin(found[1], flat))] for x in found]
-            more = desert_seeds(seq or "", np.unique(found[2]).tolist(), k, masks, gap, step, reach)
+        out = Held(batch, ["id", "mask_id", "kmer", "pos", "rc", "rev"])
+        for row, text in enumerate(batch.column(1)):
+            seq = text.as_py()
+            raw = (seq or "").encode()
+            own, dust = kmers.codes(raw, k), kmers.dust_at(raw, k)
+            found = captured(own, k, masks)
+            low = dust[found[2]] > MAX_DUST
+            if len(flat):
+                low |= np.isin(found[1], flat)
+            found = [x[~low] for x in found]
+            more = desert_seeds(seq or "", np.unique(found[2]).tolist(), k, masks, gap, step, reach, known=(own, dust))
             if more:
                 found = [np.concatenate((x, np.array(y, x.dtype))) for x, y in zip(found, zip(*more, strict=True), strict=True)]
             # Reversed copies: a place that several masks captured comes once, since its k-mer has one nearest mask.
             _, once = np.unique(found[2] * 2 + found[3], return_index=True)
             turned = kmers.reverse_codes(found[1][once], k)
             back = (nearest_masks(turned, masks, k), turned, found[2][once], found[3][once])
-            for n, part in enumerate((found, back)):
-                out.append((np.full(len(part[0]), row), *part, np.full(len(part[0]), bool(n))))
-        if out:
-            yield _rows(batch, out, ["id", "mask_id", "kmer", "pos", "rc", "rev"])
+            yield from out.add(*((np.full(len(part[0]), row), *part, np.full(len(part[0]), bool(n))) for n, part in enumerate((found, back))))
+        yield from out.rest()
 
 
 def index_seeds(df: DataFrame, id_col: str, seq_col: str, masks: DataFrame, k: int, gap: int = 100, step: int = 50, reach: int = 25) -> DataFrame:
@@ -129,38 +170,47 @@ def index_seeds(df: DataFrame, id_col: str, seq_col: str, masks: DataFrame, k: i
     return df.select(id_col, seq_col).mapInArrow(lambda b: _index_seeds(b, k, packed, gap, step, reach), f"id {kind}, mask_id int, kmer long, pos long, rc boolean, rev boolean").withColumnRenamed("id", id_col)
 
 
-def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, np.ndarray], gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = MAX_DUST):
+def desert_seeds(seq: str, places: list[int], k: int, masks: tuple[np.ndarray, np.ndarray], gap: int = 100, step: int = 50, reach: int = 25, flank: int = 1000, max_dust: int = MAX_DUST, known=None):
     """Seeds (mask, kmer, pos, rc) for stretches of at least gap bases without any. Around each stretch the masks capture anew; every step bases the
-    nearest captured k-mer within reach bases, back first, is taken: forward strand before reverse, no homopolymers or low complexity."""
+    nearest captured k-mer within reach bases, back first, is taken: forward strand before reverse, no homopolymers or low complexity. known: kmers.codes() and kmers.dust_at() of seq, if they are known."""
     last, out = len(seq) - k, []
     if last < 0:
         return out
     ids, code = masks
     edges = [0, *sorted(places), last]
-    raw = seq.encode()
+    (all_at, all_fwd, all_rev), dust = known or (kmers.codes(seq.encode(), k), kmers.dust_at(seq.encode(), k))
     for before, after in zip(edges, edges[1:], strict=False):
         if after - before < gap:
             continue
         low = max(0, before - flank)
-        at, fwd, rev = kmers.codes(raw[low : after + flank + k], k)
+        own = slice(*np.searchsorted(all_at, (low, after + flank + 1)))
+        at, fwd, rev = all_at[own], all_fwd[own], all_rev[own]
         if not len(at):
             continue
-        value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)) + low, np.repeat([False, True], len(at))
-        order = np.argsort(value, kind="stable")
+        value, pos, rc = np.concatenate((fwd, rev)), np.concatenate((at, at)), np.repeat([False, True], len(at))
+        order = np.argsort(value)
         first, end = least_xor(value[order], code, 2 * k)
-        owner: dict[tuple[int, bool], tuple[int, int]] = {}
-        for mask, a, b in zip(ids.tolist(), first.tolist(), end.tolist(), strict=True):
-            for j in order[a:b].tolist():
-                owner.setdefault((int(pos[j]), bool(rc[j])), (mask, int(value[j])))
+        n = end - first
+        picked = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        # The places that the stretch may take, forward strand first, each with the first mask that captured it.
+        inside = (pos[picked] > before - reach) & (pos[picked] < after + reach)
+        picked, mask = picked[inside], np.repeat(ids, n)[inside]
+        once = np.unique(pos[picked] * 2 + rc[picked], return_index=True)[1]
+        once = once[dust[pos[picked[once]]] <= max_dust]
+        picked, mask = picked[once], mask[once].tolist()
+        place, strand, kmer = pos[picked].tolist(), rc[picked].tolist(), value[picked].tolist()
         j = before + step
         while j < after:
-            tried = [*range(j, max(before, j - reach), -1), *range(j + 1, min(after, j + reach))]
-            pick = next(((p, s) for p in tried for s in (False, True) if (p, s) in owner and kmers.dust_of(seq[p : p + k]) <= max_dust), None)
-            if pick:
-                out.append((*owner[pick], *pick))
-                j = pick[0] + step
+            i = bisect_right(place, j) - 1
+            if i >= 0 and place[i] > max(before, j - reach):
+                i = bisect_left(place, place[i])
             else:
-                j += reach + step
+                i += 1
+                if i == len(place) or place[i] >= min(after, j + reach):
+                    j += reach + step
+                    continue
+            out.append((mask[i], kmer[i], place[i], strand[i]))
+            j = place[i] + step
     return out
 
 

@@ -47,7 +47,7 @@ def genomes(spark, sf):
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # a few files that can't be split; a large table is read as it is split
         docs = docs.repartition(cores)
-    return docs.select("doc_id", kmers.dna(F.col("text")).alias("seq"))
+    return kmers.dna_of(docs, "doc_id", "text")
 
 
 def items(spark, sf):

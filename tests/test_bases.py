@@ -1,6 +1,9 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from strandline import queries
+from strandline.functions import kmers
 
 TEXTS = ["ACGTacgtNn-MRWSYKVHDBUmrwsykvhdbu", "stra\u00dfe \u0131 \ufb01 \u00e9\t\r\nGATTACA\u007f", "\U0001d400c\U0001f9ecg", "", None]
 
@@ -31,3 +34,11 @@ def test_unknown_taxa(spark):
     closure = spark.createDataFrame([(5, 5), (6, 6), (5, 1), (6, 1)], "node int, ancestor int")
     left = lambda *x: {r["g"] for r in seeds.by_taxon(df, "taxon", closure, *x).collect()}
     assert left([], [5]) == {2} and left([], [5], True) == {2, 3} and left([1], [6]) == {1} and left([5], [], True) == {1, 3} and left([], []) == {1, 2, 3}
+
+
+def test_both_ways_to_bases_agree_on_every_character(spark):
+    skip = range(0xD800, 0xE000)
+    texts = ["".join(chr(c) + "b" for c in range(low, low + 4096) if c not in skip) for low in range(0, 0x110000, 4096)] + ["", None, "ABC xyz", "İKſ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r["id"]: r["seq"] for r in df.select("id", kmers.dna(F.col("text")).alias("seq")).collect()}
+    assert {r["id"]: r["seq"] for r in kmers.dna_of(df, "id", "text").collect()} == want
