@@ -58,6 +58,13 @@ _CHAIN_KEYS = ["query", "genome_id", "seq_idx", "rc"]
 _CHAIN_ARROW = pa.schema([("query", pa.string()), ("genome_id", pa.string()), ("seq_idx", pa.int32()), ("rc", pa.bool_()), ("chain", pa.int32()), ("score", pa.float32()), *((c, pa.int32()) for c in ("qb", "qe", "tb", "te", "n"))])
 
 
+def parts(batches, rows: int = 256):
+    """Frames of a few rows, so that what a task makes of them passes on before it adds up."""
+    for pdf in batches:
+        for low in range(0, len(pdf), rows):
+            yield pdf.iloc[low : low + rows]
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df by keys over all shuffle partitions. The number is stated since few bytes may be much work here, which adaptive coalescing can't know."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -133,7 +140,7 @@ def hits(chained: DataFrame, queries: DataFrame, contigs: DataFrame, options: Se
     names = [c.split()[0] for c in HIT_SCHEMA.split(", ")]
 
     def run(batches):
-        for pdf in batches:
+        for pdf in parts(batches):
             rows = []
             for r in pdf.itertuples(index=False):
                 q0, q1 = max(0, r.qb - e), min(len(r.qseq_all), r.qe + e)
@@ -150,7 +157,9 @@ def hits(chained: DataFrame, queries: DataFrame, contigs: DataFrame, options: Se
             yield pd.DataFrame(rows, columns=names)
 
     found = dealt(windows, "query", "genome_id", "seq_idx", "chain").mapInPandas(run, HIT_SCHEMA)
-    return found.dropDuplicates(["query", "genome_id", "seq_idx", "rc", "qb", "qe", "tb", "te"])
+    # Of several chains that lead to one alignment the best one keeps it.
+    keys = ["query", "genome_id", "seq_idx", "rc", "qb", "qe", "tb", "te"]
+    return found.groupBy(*keys).agg(F.min("chain").alias("chain"), *(F.first(c).alias(c) for c in names if c not in (*keys, "chain"))).select(*names)
 
 
 def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -168,8 +177,7 @@ def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOpti
     h = h.withColumn("evalue", alignment.e_value(bit, F.col("qe") - F.col("qb"), index.total_bases())).withColumn("bitscore", bit.cast("int"))
     h = h.withColumn("pident", alignment.share(F.col("matches"), F.col("alen"))).withColumn("qcovHSP", alignment.share(F.col("qe") - F.col("qb"), F.col("qlen")))
     h = h.where((F.col("evalue") <= options.max_evalue) & (F.col("pident") >= options.min_identity) & (F.col("qcovHSP") >= options.min_query_coverage_hsp))
-    cover = intervals.union_length(h.select("query", "genome_id", "qb", (F.col("qe") - 1).alias("q_last")), ["query", "genome_id"], "qb", "q_last")
-    h = h.join(cover, ["query", "genome_id"]).withColumn("qcovGnm", alignment.share(F.col("covered"), F.col("qlen"))).where(F.col("qcovGnm") >= options.min_query_coverage_genome)
+    h = intervals.with_union_length(h, ["query", "genome_id"], F.col("qb"), F.col("qe") - 1).withColumn("qcovGnm", alignment.share(F.col("covered"), F.col("qlen"))).where(F.col("qcovGnm") >= options.min_query_coverage_genome)
     # A cluster of alignments is what comes from one chain.
     h = h.withColumn("rank_score", F.col("bitscore") * F.col("pident")).withColumn("cluster", F.struct("seq_idx", "rc", "chain"))
     h = intervals.number_hits(h, "query", "genome_id", "cluster", "rank_score", ["qb", "tb"])
@@ -214,7 +222,7 @@ def ani(a: DataFrame, b: DataFrame, size: int = 1020, min_identity: float = 70,
     schema = "frag_a string, frag_b string, g_frag_a string, g_frag_b string, len_frag_a int, len_frag_b int, matches int, aligned int, columns int"
 
     def run(batches):
-        for pdf in batches:
+        for pdf in parts(batches):
             rows = []
             for r in pdf.itertuples(index=False):
                 best = (0, 0, 0)
@@ -289,7 +297,7 @@ def sampled_ani(a: DataFrame, b: DataFrame, size: int = 1020, k: int = 13, scale
     schema = "frag string, query string, genome_id string, frag_len int, ssize long, matches int, aligned int, columns int"
 
     def align(batches):
-        for pdf in batches:
+        for pdf in parts(batches):
             rows = []
             for r in pdf.itertuples(index=False):
                 t = r.window.translate(_COMPLEMENT)[::-1] if r.rc else r.window

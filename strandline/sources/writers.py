@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +44,25 @@ def sam_header(hsps: DataFrame) -> DataFrame:
     return hsps.groupBy("sseqid").agg(F.max("slen").alias("slen")).select(F.concat(F.lit("@SQ\tSN:"), "sseqid", F.lit("\tLN:"), F.col("slen").cast("string")).alias("value"))
 
 
+def _blocks(batches, width: int):
+    for batch in batches:
+        names = ["qseq", "align", "sseq", "qstart", "sstart", "send", "sstr"]
+        texts = []
+        for row in range(batch.num_rows):
+            q, marks, s, at, first, last, strand = (batch.column(n)[row].as_py() for n in names)
+            sign, blocks = -1 if strand == "-" else 1, []
+            to = last if strand == "-" else first
+            for i in range(0, max(len(q), 1), width):
+                a, b = q[i : i + width], s[i : i + width]
+                end, upto = at + len(a) - a.count("-"), to + sign * (len(b) - b.count("-"))
+                blocks.append(f"Query  {at:<9d} {a} {end - 1}\n{' ' * 17}{marks[i : i + width]}\nSbjct  {to:<9d} {b} {upto - sign}\n")
+                at, to = end, upto
+            texts.append("\n".join(blocks))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("query", "sgenome", "sseqid", "hsp")), pa.array(texts, pa.string())], ["query", "sgenome", "sseqid", "hsp", "value"])
+
+
 def pairwise_text(hsps: DataFrame, width: int = 60) -> DataFrame:
-    """Blocks of query, match marks and subject with running coordinates, one row for an alignment."""
-    blocks = F.sequence(F.lit(0), F.greatest(F.length("qseq") - 1, F.lit(0)), F.lit(width))
-    plain = lambda c, i: F.length(F.replace(F.substring(F.col(c), F.lit(1), i), F.lit("-"), F.lit("")))
-    cut = lambda c, i: F.substring(F.col(c), i + 1, F.lit(width))
-    sign = F.when(F.col("sstr") == "-", -1).otherwise(1)
-    from_ = F.when(F.col("sstr") == "-", F.col("send")).otherwise(F.col("sstart"))
-
-    def block(i):
-        q0, s0 = F.col("qstart") + plain("qseq", i), from_ + sign * plain("sseq", i)
-        q1, s1 = F.col("qstart") + plain("qseq", i + width) - 1, from_ + sign * (plain("sseq", i + width) - 1)
-        return F.concat(F.format_string("Query  %-9d ", q0), cut("qseq", i), F.format_string(" %d\n", q1), F.lit(" " * 17), cut("align", i), F.format_string("\nSbjct  %-9d ", s0), cut("sseq", i), F.format_string(" %d\n", s1))
-
-    return hsps.select("query", "sgenome", "sseqid", "hsp", F.array_join(F.transform(blocks, block), "\n").alias("value"))
+    """Blocks of query, match marks and subject with running coordinates, one row for an alignment. Each alignment is read once from its begin to its end."""
+    plain = hsps.select("query", "sgenome", "sseqid", "hsp", "qseq", "align", "sseq", "qstart", "sstart", "send", "sstr")
+    kinds = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in plain.columns[:4])
+    return plain.mapInArrow(partial(_blocks, width=width), f"{kinds}, value string")

@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from strandline.functions import kmers
-from strandline.operators import seeds
+from strandline.operators import intervals, seeds
+from strandline.plans import search
+from strandline.plans.index import Index, Options
 
 RANDOM = random.Random(11)
 
@@ -41,3 +44,22 @@ def test_seeds_pass_on_before_a_batch_is_over(monkeypatch):
     for out in (list(seeds._index_seeds([batch], 21, masks, 100, 50, 25)), list(seeds._capture([batch], 21, masks))):
         assert len(out) > 2 and max(x.num_rows for x in out) < 2000
         assert set(pa.Table.from_batches(out)["id"].to_pylist()) == set(range(60))
+
+
+def test_a_search_aligns_once(spark):
+    text = "".join(RANDOM.choices("ACGT", k=600))
+    contigs = spark.createDataFrame([("g1", 0, "c", text), ("g2", 0, "c", text[100:] + "A")], "genome_id string, seq_idx int, seq_id string, seq string")
+    queries = spark.createDataFrame([("q", text[200:500])], "query string, seq string")
+    found = search.search(Index.build(contigs, Options(k=21, masks=64, min_length=21)), queries)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    assert {(r["sgenome"], r["qcovGnm"]) for r in found.collect()} == {("g1", 100.0), ("g2", 100.0)}
+
+
+def test_union_length_in_every_row(spark):
+    rows = [(RANDOM.randrange(4), b := RANDOM.randrange(60), b + RANDOM.randrange(9)) for _ in range(200)]
+    df = spark.createDataFrame(rows + rows[:20], "g long, b long, e long")
+    want = {r["g"]: r["covered"] for r in intervals.union_length(df, ["g"], "b", "e").collect()}
+    assert want == {g: len({x for k, b, e in rows if k == g for x in range(b, e + 1)}) for g in want}
+    out = intervals.with_union_length(df, ["g"], F.col("b"), F.col("e")).collect()
+    assert len(out) == 220 and all(r["covered"] == want[r["g"]] for r in out)
