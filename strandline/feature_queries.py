@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import alignment, kmers, sizes, sql
-from strandline.operators import intervals, seeds
+from strandline.operators import dealing, intervals, seeds
 from strandline.plans import search
 from strandline.queries import _GENOMES, genomes, items, query, table
 
@@ -101,6 +101,7 @@ def sized_genomes(spark, sf):
 @query("WITH p AS (SELECT l_suppkey AS grp, l_orderkey * 8 + l_linenumber AS pos, l_returnflag = 'R' AS gap FROM lineitem), e AS (SELECT grp, max(pos) AS edge FROM p GROUP BY grp), w AS (SELECT grp, gap, edge, unnest(range((pos // 100) * 100, greatest(-1, pos - 250), -100)) AS window_start FROM p JOIN e USING (grp)) SELECT grp, window_start, count(*) AS n FROM w WHERE window_start + 250 <= edge GROUP BY grp, window_start HAVING NOT bool_or(gap)")
 def seed_window_gaps(spark, sf):
     p = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("grp"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), (F.col("l_returnflag") == "R").alias("gap"))
+    p = dealing.by_rows(p, "grp")
     edge = p.groupBy("grp").agg(F.max("pos").alias("edge"))
     return intervals.sliding_counts(p.join(edge, "grp"), ["grp"], "pos", 250, 100, "gap", "edge")
 
