@@ -1,13 +1,15 @@
 """Index kernel against plain versions; what a task holds, and what a search makes once."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strandline import feature_queries, kernel_queries, queries  # noqa: F401
 from strandline.functions import kmers
-from strandline.operators import intervals, seeds
+from strandline.operators import dealing, intervals, seeds
 from strandline.plans import search
 from strandline.plans.index import Index, Options
 
@@ -63,3 +65,28 @@ def test_union_length_in_every_row(spark):
     assert want == {g: len({x for k, b, e in rows if k == g for x in range(b, e + 1)}) for g in want}
     out = intervals.with_union_length(df, ["g"], F.col("b"), F.col("e")).collect()
     assert len(out) == 220 and all(r["covered"] == want[r["g"]] for r in out)
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(dealing, "TASK_ROWS", 200)
+    monkeypatch.setattr(seeds, "TASK_PAIRS", 5000)
+    for name in ("seed_window_gaps", "seed_window_counts", "seed_distance_histogram", "hsp_numbering", "interval_merge", "coverage_union", "hsp_cluster_rollup", "fragment_shared_kmers", "top_fragments"):
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        parts = [int(x) for x in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan)]
+        assert parts and max(parts) >= n // 200, name
+
+
+def test_shared_with_a_kmer_beyond_one_task(spark, monkeypatch):
+    rows = [(i % 40, i % 7 if i % 3 else 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "left long, kmer long")
+    want = {}
+    for a, k in set(rows):
+        for b, j in set(rows):
+            if j == k:
+                want[a, b] = want.get((a, b), 0) + 1
+    for pairs in (100, 1_000_000):
+        monkeypatch.setattr(seeds, "TASK_PAIRS", pairs, raising=False)
+        found = seeds.shared(df, df.withColumnRenamed("left", "right"), "kmer", "left", "right", 2).collect()
+        assert {(r["left"], r["right"]): r["n"] for r in found} == {k: v for k, v in want.items() if v >= 2}
